@@ -1,2 +1,545 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Every query by name, with the DuckDB SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from findery.config import DEFAULTS
+from findery.functions import hashing, html, urls, vectors
+from findery.functions import text as T
+from findery.operators import dedup, frontier, graph, index, search, store
+from findery.plans import fixtures as X
+from findery.session import read, snapshot
+from findery.sources import batch
+from findery.streaming.crawl import index_pages
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+PRE, TOP, LIMIT = 10 * DEFAULTS.limit, 5 * DEFAULTS.limit, DEFAULTS.limit
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+FOLD = "text"
+for _a, _b in T.UMLAUTS:
+    FOLD = f"replace({FOLD}, '{_a}', '{_b}')"
+FOLD_T = FOLD.replace("text", "t", 1)
+STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
+PREP = f"list_filter(list_transform({X.TOKENS_SQL.format('text')}, lambda t: {FOLD_T}), lambda t: NOT list_contains({STOP}, t))"
+UNESCAPE = "{}"
+for _a, _b in html.ENTITIES:
+    UNESCAPE = "replace(" + UNESCAPE + f", '{_a}', '" + _b.replace("'", "''") + "')"
+CLEAN = r"""CASE WHEN regexp_matches({0}, '(?i)^https?:') THEN
+  lower(regexp_extract({0}, '^([A-Za-z]+):', 1)) || substr(regexp_replace(regexp_replace({0}, '[?#][\s\S]*$', ''), '/+$', ''), length(regexp_extract({0}, '^([A-Za-z]+):', 1)) + 1) END"""
+STRIP = "{}"
+for _e in html.BOILERPLATE:
+    STRIP = f"regexp_replace({STRIP}, '(?is)<{_e}\\b.*?</{_e}>', '', 'g')"
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(f"SELECT doc_id, {FOLD} AS folded FROM documents")
+def umlaut_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.umlaut_fold(F.col("text")).alias("folded"))
+
+
+@query(f"WITH {X.TOK_SQL} SELECT doc_id, array_to_string(tokens, ' ') AS tokens FROM tok")
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.tokenised(spark, sf_dir).select("doc_id", F.concat_ws(" ", "tokens").alias("tokens"))
+
+
+@query(f"SELECT doc_id, array_to_string({PREP}, ' ') AS tokens FROM documents")
+def preprocess_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", T.preprocess(F.col("text"))).alias("tokens"))
+
+
+@query(f"WITH {X.POST_SQL} SELECT doc_id, term, tf FROM postings")
+def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.postings(X.tokenised(spark, sf_dir)).select("doc_id", "term", "tf")
+
+
+@query(f"WITH {X.POST_SQL} SELECT doc_id, length FROM lens")
+def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.lengths(X.tokenised(spark, sf_dir)).select("doc_id", "length")
+
+
+ENGLISH = f"""WITH t AS (SELECT doc_id, unnest({X.TOKENS_SQL.format('text')}) AS t FROM documents),
+w AS (SELECT doc_id, {FOLD_T} AS word FROM t),
+v AS (SELECT DISTINCT unnest({X.TOKENS_SQL.format('text')}) AS word FROM benchmark),
+s AS (SELECT doc_id, count(*) AS n_words, count(v.word) / count(*)::DOUBLE AS share FROM w LEFT JOIN v USING (word) WHERE regexp_matches(word, '^\\p{{L}}+$') GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(share, 0), 9) AS share, coalesce(share, 0) >= 0.5e0 AS english FROM documents LEFT JOIN s USING (doc_id)"""
+
+
+@query(ENGLISH)
+def english_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark texts' words are the vocabulary."""
+    known = read(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("word"))
+    found = T.words_share(read(spark, sf_dir, "documents"), known)
+    return found.select("doc_id", "n_words", F.round("share", 9).alias("share"), (F.col("share") >= DEFAULTS.english_share).alias("english"))
+
+
+@query(f"""SELECT doc_id FROM (SELECT doc_id, lang, {X.TOKENS_SQL.format('text')} AS ts FROM documents)
+WHERE lang = 'en' AND (list_contains(ts, 'thing') OR (list_contains(ts, 'the') AND list_contains(ts, 'and') AND list_contains(ts, 'of')))""")
+def relevance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").filter("lang = 'en'")
+    return docs.filter(T.on_topic(T.tokens(F.col("text")), X.TOPIC_ANY, X.TOPIC_ALL)).select("doc_id")
+
+
+@query("""SELECT doc_id, concat_ws('. ', nullif(CASE WHEN doc_id % 2 = 0 THEN source ELSE '' END, ''), CASE WHEN doc_id % 3 = 0 THEN lang END, text) AS input FROM documents""")
+def embed_input_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and languages stand in for titles and descriptions; some are empty or NULL."""
+    title = F.when(F.col("doc_id") % 2 == 0, F.col("source")).otherwise("")
+    note = F.when(F.col("doc_id") % 3 == 0, F.col("lang"))
+    return read(spark, sf_dir, "documents").select("doc_id", T.embed_input(title, note, F.col("text")).alias("input"))
+
+
+@query("SELECT doc_id, sha256(text) AS content_id FROM documents")
+def content_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.content_id(F.col("text")).alias("content_id"))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 150 THEN substr(text, 1, 147) || '...' ELSE text END AS short FROM documents")
+def shorten_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.shorten(F.col("text"), 150).alias("short"))
+
+
+@query("SELECT doc_id, printf('AI-probably: %.2f%%', coalesce(toxic, 0) * 100e0) AS label FROM documents LEFT JOIN labels USING (doc_id)")
+def ai_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return docs.select("doc_id", T.ai_label(F.coalesce("toxic", F.lit(0)).cast("double")).alias("label"))
+
+
+@query("SELECT doc_id, lower(hex(source)) AS id FROM documents")
+def hex_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").select("doc_id", T.hex_id(F.col("source")).alias("id"))
+
+
+# ---------------------------------------------------------------- the index
+
+
+@query(f"WITH {X.POST_SQL} SELECT n_docs, round(avg_length, 9) AS avg_length FROM meta")
+def corpus_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.corpus_meta(index.lengths(X.tokenised(spark, sf_dir))).select("n_docs", F.round("avg_length", 9).alias("avg_length"))
+
+
+@query(f"WITH {X.POST_SQL} SELECT term, df FROM df")
+def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From each document's distinct tokens: the postings' counts aren't needed."""
+    each = X.tokenised(spark, sf_dir).select("doc_id", F.explode(F.array_distinct("tokens")).alias("term"))
+    return index.document_frequency(each)
+
+
+@query(f"WITH {X.POST_SQL} SELECT term, round(ln((n_docs - df + 0.5e0) / (df + 0.5e0) + 1e0), 9) AS idf FROM df, meta")
+def bm25_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = X.tokenised(spark, sf_dir)
+    df = index.document_frequency(docs.select("doc_id", F.explode(F.array_distinct("tokens")).alias("term")))
+    n = docs.filter("status = 3").agg(F.count("*").alias("n_docs"))  # one row
+    return df.crossJoin(F.broadcast(n)).select("term", F.round(index.idf(F.col("n_docs"), F.col("df")), 9).alias("idf"))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queries' matches; tokens are made once and kept."""
+    docs, posted = _indexed(spark, sf_dir)
+    return index.matches(X.queries(spark, sf_dir), posted, docs)
+
+
+def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Lengths and postings, written once: the index that all queries read."""
+    docs = X.tokenised(spark, sf_dir)
+    return snapshot(index.lengths(docs), "lengths"), snapshot(index.postings(docs), "postings")
+
+
+@query(f"WITH {X.fill(X.PRE_SQL, pre=PRE)} SELECT query_id, doc_id, score, rank FROM pre")
+def tfidf_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index.prefilter(_found(spark, sf_dir), PRE).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"WITH {X.fill(X.BM25_SQL, pre=PRE, top=TOP)} SELECT query_id, doc_id, score, rank FROM bm")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, posted = _indexed(spark, sf_dir)
+    return index.ranked_bm25(X.queries(spark, sf_dir), posted, docs, TOP, decimals=9).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"WITH {X.POST_SQL} SELECT query_id, doc_id, string_agg(term || ':' || tf, ' ' ORDER BY term) AS terms FROM found GROUP BY query_id, doc_id")
+def doc_term_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = F.transform(F.array_sort(F.map_entries("terms")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))
+    return index.term_map(_found(spark, sf_dir)).select("query_id", "doc_id", F.concat_ws(" ", entries).alias("terms"))
+
+
+# ---------------------------------------------------------------- the graph
+
+
+READY_LINKS = f"WITH {X.LINKS_SQL} SELECT src, dst FROM links WHERE src % 5 <> 0 AND dst % 5 <> 0"
+
+
+@query(READY_LINKS)
+def ready_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = X.links(spark, sf_dir)
+    return graph.ready_links(links, X.nodes(links).filter("node % 5 <> 0"))
+
+
+@query(f"WITH {X.LINKS_SQL} SELECT src, n_out FROM outs")
+def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.out_degree(X.links(spark, sf_dir))
+
+
+@query(f"WITH {X.rounds_sql(1)} SELECT node, round(rank, 12) AS rank FROM r1")
+def pagerank_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = snapshot(X.links(spark, sf_dir), "links")
+    return graph.pagerank(links, X.nodes(links), iterations=1).select("node", F.round("rank", 12).alias("rank"))
+
+
+@query(f"WITH {X.rounds_sql(10)} SELECT node, round(rank, 12) AS rank FROM r10")
+def pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = snapshot(X.links(spark, sf_dir), "links")
+    return graph.pagerank(links, X.nodes(links)).select("node", F.round("rank", 12).alias("rank"))
+
+
+# ---------------------------------------------------------------- vectors and the final score
+
+COS = "list_cosine_similarity(v.embedding::DOUBLE[], qv.embedding::DOUBLE[])"
+COS_SQL = r""", qv AS (SELECT item_id AS query_id, embedding FROM benchmark JOIN embeddings ON vec_id = item_id),
+cs AS (
+  SELECT query_id, doc_id, cosine FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank
+    FROM (SELECT bm.query_id, bm.doc_id, round({cos}, 9) AS cosine FROM bm JOIN embeddings v ON v.vec_id = bm.doc_id JOIN qv USING (query_id)))
+  WHERE rank <= {limit})"""
+FUNNEL = (X.BM25_SQL + COS_SQL).replace("{cos}", COS)
+BLEND_SQL = r""", pr AS (SELECT query_id, doc_id, cosine, coalesce(r10.rank, 0) AS pr FROM {src} LEFT JOIN r10 ON node = doc_id),
+mx AS (SELECT *, max(pr) OVER (PARTITION BY query_id) AS most FROM pr),
+bl AS (SELECT query_id, doc_id, cosine, round(0.7e0 * cosine + 0.3e0 * CASE WHEN most > 0 THEN ln(1 + pr) / ln(1 + most) ELSE 0 END, 6) AS score FROM mx)
+SELECT query_id, doc_id, round(cosine, 6) AS cosine, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM bl"""
+NEAR_SQL = r"""cs AS (
+  SELECT query_id, doc_id, cosine FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, doc_id) AS rank
+    FROM (SELECT b.item_id AS query_id, v.vec_id AS doc_id, round({cos}, 9) AS cosine
+          FROM benchmark b JOIN embeddings qv ON qv.vec_id = b.item_id, embeddings v))
+  WHERE rank <= {limit})""".replace("{cos}", COS)
+
+
+def _all_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every (query, vector): the stated query set against all rows; only the queries are broadcast, if they are few."""
+    asked, held = X.query_vectors(spark, sf_dir), X.vectors(spark, sf_dir)
+    return asked, held, held.select("doc_id").crossJoin(asked.select("query_id"))
+
+
+@query("WITH " + X.fill(NEAR_SQL, limit=LIMIT) + " SELECT query_id, doc_id, cosine FROM cs")
+def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, held, pairs = _all_candidates(spark, sf_dir)
+    return search.cosine_rerank(pairs, asked, held, LIMIT, decimals=9)
+
+
+def _page_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = snapshot(X.links(spark, sf_dir), "links")
+    return graph.pagerank(links, X.nodes(links)).withColumnRenamed("node", "doc_id")
+
+
+def _final(scored: DataFrame) -> DataFrame:
+    return scored.select("query_id", "doc_id", F.round("cosine", 6).alias("cosine"), "score", "rank")
+
+
+@query(f"WITH {X.rounds_sql(10)}, " + X.fill(NEAR_SQL, limit=LIMIT) + X.fill(BLEND_SQL, src="cs"))
+def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked, held, pairs = _all_candidates(spark, sf_dir)
+    near = search.cosine_rerank(pairs, asked, held, LIMIT, decimals=9)
+    return _final(search.blend(near, _page_ranks(spark, sf_dir), decimals=6))
+
+
+@query(f"WITH {X.rounds_sql(10)}, " + X.fill(FUNNEL, pre=PRE, top=TOP, limit=LIMIT) + X.fill(BLEND_SQL, src="cs"))
+def search_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: all queries through prefilter, BM25, cosine and authority."""
+    docs, posted = _indexed(spark, sf_dir)
+    near = search.cosine_rerank(index.ranked_bm25(X.queries(spark, sf_dir), posted, docs, TOP, 9), X.query_vectors(spark, sf_dir), X.vectors(spark, sf_dir), LIMIT, 9)
+    return _final(search.blend(near, _page_ranks(spark, sf_dir), decimals=6))
+
+
+@query("""SELECT label, string_agg(printf('%.6f', x), ' ' ORDER BY i) AS pooled FROM (
+  SELECT label, i, round(sum(x * m) / greatest(sum(m), 1), 6) AS x
+  FROM (SELECT label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x, CASE WHEN vec_id % 4 = 0 THEN 0 ELSE 1 END AS m FROM embeddings) GROUP BY label, i)
+GROUP BY label""")
+def mean_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of a label stand in for a text's token states; each fourth is masked."""
+    states = read(spark, sf_dir, "embeddings").select("label", F.when(F.col("vec_id") % 4 == 0, 0).otherwise(1).alias("mask"), F.col("embedding").alias("vector"))
+    pooled = vectors.mean_pool(states, "label")
+    return pooled.select("label", F.concat_ws(" ", F.transform("pooled", lambda x: F.format_string("%.6f", F.round(x, 6)))).alias("pooled"))
+
+
+@query("SELECT vec_id, round(exp(b) / (exp(a) + exp(b)), 9) AS score FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)")
+def softmax_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    two = F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get(vectors.softmax(two), 1), 9).alias("score"))
+
+
+# ---------------------------------------------------------------- near copies
+
+SIM_SQL = X.TOK_SQL + r""", ch AS (
+  SELECT doc_id, chunk, count(*) AS n FROM (
+    SELECT doc_id, unnest(CASE WHEN length(t) <= 3 THEN [t] ELSE list_transform(range(1, length(t) - 1), lambda i: substr(t, i::INT, 3)) END) AS chunk
+    FROM (SELECT doc_id, unnest(tokens) AS t FROM tok)) GROUP BY doc_id, chunk),
+hs AS (SELECT doc_id, n, ('0x' || substr(md5(chunk), 1, 16))::UBIGINT AS h FROM ch),
+vt AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN n ELSE -n END) AS v FROM hs, (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY doc_id, i),
+sim AS (SELECT doc_id, coalesce(bit_or(CASE WHEN v > 0 THEN 1::UBIGINT << (63 - i)::UBIGINT ELSE 0::UBIGINT END), 0::UBIGINT) AS sim_hash FROM tok LEFT JOIN vt USING (doc_id) GROUP BY doc_id)"""
+PAIR_SQL = SIM_SQL + r""", pairs AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.sim_hash, y.sim_hash))::INT AS distance
+  FROM sim x JOIN sim y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.sim_hash, y.sim_hash)) < 5)"""
+JACC_SQL = PAIR_SQL + r""", ws AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS w FROM documents),
+jac AS (
+  SELECT * FROM (
+    SELECT a, b, 1 - s / (len(x.w) + len(y.w) - s)::DOUBLE AS jaccard
+    FROM (SELECT a, b, x.w AS xw, y.w AS yw, len(list_intersect(x.w, y.w)) AS s FROM pairs JOIN ws x ON x.doc_id = a JOIN ws y ON y.doc_id = b)
+    JOIN ws x ON x.doc_id = a JOIN ws y ON y.doc_id = b)
+  WHERE jaccard < 0.02e0)"""
+
+
+def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hashing.simhash(X.tokenised(spark, sf_dir).select("doc_id", "tokens"))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = dedup.hamming_pairs(snapshot(_hashes(spark, sf_dir), "hashes"))
+    return dedup.jaccard_pairs(pairs, read(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {SIM_SQL} SELECT doc_id, printf('%016x', sim_hash) AS sim_hash FROM sim")
+def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hashes(spark, sf_dir).select("doc_id", F.lower(F.lpad(F.hex("sim_hash"), 16, "0")).alias("sim_hash"))
+
+
+@query(f"WITH {PAIR_SQL} SELECT a, b, distance FROM pairs")
+def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.hamming_pairs(snapshot(_hashes(spark, sf_dir), "hashes"))
+
+
+@query(f"WITH {JACC_SQL} SELECT a, b, round(jaccard, 9) AS jaccard FROM jac")
+def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near(spark, sf_dir).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query(f"""WITH {JACC_SQL} SELECT doc_id, match, jaccard FROM (
+  SELECT b AS doc_id, a AS match, round(jaccard, 9) AS jaccard, row_number() OVER (PARTITION BY b ORDER BY jaccard, a) AS k FROM jac) WHERE k = 1""")
+def near_dup_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.best_match(_near(spark, sf_dir)).select("doc_id", "match", F.round("jaccard", 9).alias("jaccard"))
+
+
+@query(f"""WITH {JACC_SQL} SELECT doc_id, NOT EXISTS (SELECT 1 FROM jac WHERE b = doc_id) AS kept FROM documents""")
+def near_dup_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy in order of id; on these tables no chain is long enough to differ from 'has no earlier neighbour'."""
+    docs = read(spark, sf_dir, "documents")
+    return dedup.verdicts(docs, snapshot(_near(spark, sf_dir), "pairs")).select("doc_id", "kept")
+
+
+# ---------------------------------------------------------------- pages
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages")
+
+
+LINK_SQL = (
+    r"""tags AS (SELECT page_id, url, unnest(regexp_extract_all(html, '(?is)(<a\s[^>]*>)', 1)) AS tag FROM pages),
+links AS (
+  SELECT DISTINCT page_id, url, """
+    + UNESCAPE.format("""nullif(regexp_extract(tag, '(?is)\\shref="([^"]*)"', 1), '')""").replace("\\\\", "\\")
+    + r""" AS href FROM tags
+  WHERE lower(coalesce(nullif(regexp_extract(tag, '(?is)\slang="([^"]*)"', 1), ''), 'en')) IN ('en', 'en-us', 'en-gb', 'en-ca', 'en-au')
+    AND lower(coalesce(nullif(regexp_extract(tag, '(?is)\shreflang="([^"]*)"', 1), ''), 'en')) IN ('en', 'en-us', 'en-gb', 'en-ca', 'en-au')
+    AND regexp_extract(tag, '(?is)\shref="([^"]*)"', 1) <> '')"""
+)
+SITE = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
+RESOLVED = rf"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href WHEN href LIKE '/%' THEN {SITE} || href END"
+
+
+@query("SELECT page_id, " + CLEAN.format("url") + " AS clean FROM pages")
+def url_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", urls.clean(F.col("url")).alias("clean"))
+
+
+@query(f"WITH {LINK_SQL} SELECT page_id, href FROM links")
+def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.links(_pages(spark, sf_dir)).select("page_id", "href")
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.links(_pages(spark, sf_dir))
+    return found.select("page_id", urls.clean(urls.resolve(F.col("url"), F.col("href"))).alias("target")).filter("target is not null").distinct()
+
+
+TARGETS = f"{LINK_SQL}, res AS (SELECT page_id, {RESOLVED} AS r FROM links), targets AS (SELECT DISTINCT page_id, {CLEAN.format('r')} AS target FROM res WHERE regexp_matches(r, '(?i)^https?:'))"
+
+
+@query(f"WITH {TARGETS} SELECT page_id, target FROM targets")
+def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _targets(spark, sf_dir)
+
+
+@query(f"WITH {TARGETS} SELECT DISTINCT regexp_extract(target, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM targets")
+def link_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _targets(spark, sf_dir).select(urls.host(F.col("target")).alias("host")).distinct()
+
+
+@query(f"WITH {TARGETS} SELECT target, (min(page_id % 3) + 1)::INT AS depth FROM targets GROUP BY target")
+def link_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links to follow, one level below their pages."""
+    return _targets(spark, sf_dir).groupBy("target").agg((F.min(F.col("page_id") % 3) + 1).cast("int").alias("depth"))
+
+
+@query("SELECT page_id, nullif(" + UNESCAPE.format("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)") + ", '') AS title FROM pages")
+def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@query("SELECT page_id, nullif(" + UNESCAPE.format("""regexp_extract(html, '(?is)<meta\\s+name="description"\\s+content="([^"]*)"', 1)""") + ", '') AS description FROM pages")
+def html_description(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", html.description(F.col("html")).alias("description"))
+
+
+@query("SELECT page_id, " + STRIP.format("html") + " AS html FROM pages")
+def html_strip_boilerplate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", html.strip_boilerplate(F.col("html")).alias("html"))
+
+
+_bare = STRIP.format("regexp_replace(html, '(?s)<!--.*?-->', '', 'g')")
+for _e in ("script", "style", "title"):
+    _bare = f"regexp_replace({_bare}, '(?is)<{_e}\\b.*?</{_e}>', '', 'g')"
+_bare = rf"""regexp_replace(regexp_replace({_bare}, '(?i)<img\b[^>]*?\balt="([^">]* [^">]*|[\p{{L}}\p{{N}}]+)"[^>]*>', ' \1 ', 'g'), '(?i)<img\b[^>]*>', '', 'g')"""
+TEXT = "trim(regexp_replace(" + UNESCAPE.format(f"regexp_replace({_bare}, '(?s)<[^>]*>', ' ', 'g')") + r", '[ \t\r\n]+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, {TEXT} AS content FROM pages")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", html.text(F.col("html")).alias("content"))
+
+
+@query()
+def parse_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fields by the real parser; regular expressions can't follow unclosed elements, so there is no SQL for it."""
+    return html.parse(_pages(spark, sf_dir)).select("page_id", "title", "description", "content", F.size("hrefs").alias("n_links"))
+
+
+@query()
+def index_crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed, preprocessed and gated by topic."""
+    gate = lambda p: T.on_topic(F.col("tokens"), X.TOPIC_ANY, X.TOPIC_ALL)
+    return index_pages(_pages(spark, sf_dir), relevant=gate).select("page_id", "relevant", F.size("tokens").alias("length"))
+
+
+# ---------------------------------------------------------------- frontier and storage
+
+
+@query(f"WITH {X.DOCS_SQL} SELECT depth, count(*) AS n FROM docs WHERE status = 0 GROUP BY depth")
+def frontier_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = X.documents(spark, sf_dir)
+    return docs.filter("status = 0").groupBy("depth").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {X.DOCS_SQL} SELECT doc_id, depth FROM docs WHERE status = 0 AND depth <= 100 ORDER BY depth, doc_id LIMIT 50")
+def frontier_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.poll(X.documents(spark, sf_dir), DEFAULTS.poll, 100).select("doc_id", "depth")
+
+
+@query(f"""WITH {X.DOCS_SQL}, p AS (SELECT doc_id FROM docs WHERE status = 0 ORDER BY depth, doc_id LIMIT 50)
+SELECT doc_id, CASE WHEN p.doc_id IS NOT NULL THEN 1 ELSE status END AS status FROM docs LEFT JOIN p USING (doc_id)""")
+def frontier_poll_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.poll_and_queue(X.documents(spark, sf_dir), DEFAULTS.poll, 100)[1].select("doc_id", "status")
+
+
+@query(f"WITH {X.DOCS_SQL} SELECT doc_id, CASE WHEN status IN (1, 255) THEN 0 ELSE status END AS status FROM docs")
+def status_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.reset(X.documents(spark, sf_dir)).select("doc_id", "status")
+
+
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second page is known."""
+    url = urls.clean(F.col("url"))
+    return _pages(spark, sf_dir).filter("page_id % 2 = 0").groupBy(url.alias("url")).agg(F.min("page_id").alias("doc_id"), F.lit(0).alias("depth"), F.lit(3).alias("status"))
+
+
+KNOWN = "known AS (SELECT " + CLEAN.format("url") + " AS url, min(page_id) AS doc_id, 0 AS depth, 3 AS status FROM pages WHERE page_id % 2 = 0 GROUP BY 1)"
+OFFERS = "offers AS (SELECT " + CLEAN.format("url") + " AS url, (page_id % 4 + 1)::INT AS depth, page_id AS nth FROM pages)"
+
+
+@query(f"""WITH {KNOWN}, {OFFERS} SELECT url, depth, status FROM known UNION ALL
+SELECT url, arg_min(depth, nth) AS depth, 0 AS status FROM offers WHERE url NOT IN (SELECT url FROM known) GROUP BY url""")
+def frontier_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages are offered."""
+    offers = _pages(spark, sf_dir).select(urls.clean(F.col("url")).alias("url"), (F.col("page_id") % 4 + 1).cast("int").alias("depth"), F.col("page_id").alias("nth"))
+    return frontier.offer(_known(spark, sf_dir), offers)
+
+
+@query(f"""WITH {KNOWN}, {OFFERS} SELECT DISTINCT nth // 2 AS src, known.doc_id AS dst FROM offers JOIN known USING (url)""")
+def link_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = _pages(spark, sf_dir).select(F.floor(F.col("page_id") / 2).cast("long").alias("src"), urls.clean(F.col("url")).alias("url"))
+    known = _known(spark, sf_dir)
+    none = known.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst")).limit(0)
+    return frontier.insert_links(none, source, known)
+
+
+@query(f"WITH {X.DOCS_SQL} SELECT status, count(*) AS n FROM docs GROUP BY status")
+def index_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.counts(X.documents(spark, sf_dir))
+
+
+@query(f"WITH {X.DOCS_SQL} SELECT doc_id FROM docs WHERE status = 3 AND NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = doc_id)")
+def missing_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.missing_embeddings(X.documents(spark, sf_dir), X.vectors(spark, sf_dir)).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NULL")
+def missing_ai_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    return store.missing_scores(scored.withColumn("ai_score", F.col("toxic"))).select("doc_id")
+
+
+@query(f"""WITH {X.POST_SQL} SELECT term, doc_id, tf FROM postings WHERE doc_id % 10 <> 0
+UNION ALL SELECT source AS term, doc_id, 1::BIGINT AS tf FROM documents WHERE doc_id % 10 = 0""")
+def replace_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each tenth document is indexed anew, by its source alone."""
+    new = read(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select(F.col("source").alias("term"), "doc_id", F.lit(1).cast("long").alias("tf"))
+    return store.replace_postings(index.postings(X.tokenised(spark, sf_dir)), new)
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'title ' || doc_id ELSE '[Untitled]' END AS title,
+  CASE WHEN doc_id % 4 = 1 THEN lang ELSE 'No description provided' END AS description, coalesce(toxic, 0)::DOUBLE AS ai_score
+FROM documents LEFT JOIN labels USING (doc_id)""")
+def present_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some titles are NULL; descriptions are NULL, empty, the placeholder or real."""
+    k = F.col("doc_id") % 4
+    note = F.when(k == 1, F.col("lang")).when(k == 2, F.lit("")).when(k == 3, F.lit("[No description]"))
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    shown = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("title "), F.col("doc_id").cast("string"))).alias("title"), note.alias("description"), F.col("toxic").cast("double").alias("ai_score"))
+    return store.present(shown)
+
+
+# ---------------------------------------------------------------- batch
+
+
+BATCH_LINE = "CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'x ' || text WHEN 2 THEN '  ' || item_id || chr(9) || substr(text, 1, 40) || ' ' ELSE item_id || ' ' || substr(text, 1, 40) END"
+
+
+@query(f"""WITH l AS (SELECT {BATCH_LINE} AS line FROM benchmark)
+SELECT regexp_extract(line, '^\\s*(\\d+)\\s+(\\S[\\s\\S]*?)\\s*$', 1)::INT AS query_id, regexp_extract(line, '^\\s*(\\d+)\\s+(\\S[\\s\\S]*?)\\s*$', 2) AS query
+FROM l WHERE regexp_matches(line, '^\\s*(\\d+)\\s+(\\S[\\s\\S]*?)\\s*$')""")
+def batch_read_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines made of the benchmark texts: blank, without a number, and well-formed ones."""
+    k, n, head = F.col("item_id") % 4, F.col("item_id").cast("string"), F.substring("text", 1, 40)
+    line = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit("x "), F.col("text"))).when(k == 2, F.concat(F.lit("  "), n, F.lit("\t"), head, F.lit(" "))).otherwise(F.concat(n, F.lit(" "), head))
+    return batch.parse_queries(read(spark, sf_dir, "benchmark").select(line.alias("value")))
+
+
+@query(f"""WITH {X.fill(X.BM25_SQL, pre=PRE, top=TOP)} SELECT query_id, rank, query_id || chr(9) || rank || chr(9) || 'doc/' || doc_id || chr(9) || printf('%.3f', score) AS line FROM bm""")
+def batch_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, posted = _indexed(spark, sf_dir)
+    ranked = index.ranked_bm25(X.queries(spark, sf_dir), posted, docs, TOP, decimals=9)
+    return batch.format_results(ranked.withColumn("url", F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))))
