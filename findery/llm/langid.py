@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm import codepoints as cp
-from findery.llm.common import id_crc, sample_fraction, table
+from findery.llm.common import give_back, id_crc, sample_fraction, slices, table
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
@@ -80,7 +80,7 @@ def fit(docs: DataFrame, bits: int = 16, train_docs: int = 20_000, smoothing: fl
             docs_.clear()
 
         kind = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
-        for batch in batches:
+        for batch in slices(batches):
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if (found := grams(text, bits)) is None:
                     continue
@@ -129,6 +129,7 @@ def identify(spark: SparkSession, model: Model, text: Column) -> Column:
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
             yield pd.DataFrame([predict(shared.value, x) for x in part], columns=["lang_pred", "score"])
+        give_back()
 
     return score.asNondeterministic()(text)  # never evaluated twice
 

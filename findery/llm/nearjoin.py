@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm import codepoints as cp
-from findery.llm.common import Scratch, table
+from findery.llm.common import Scratch, slices, table
 from findery.llm.components import components
 
 
@@ -81,7 +81,7 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
-        for batch in batches:
+        for batch in slices(batches):
             nodes, found = [], []
             for text in batch.column(1).to_pylist():
                 h = cp.Words(text).hashes if text else ()
@@ -186,7 +186,7 @@ def words_of(docs: DataFrame) -> DataFrame:
     """(node, words): word hashes of texts, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes = [cp.Words(x).hashes for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([node_key(h) for h in hashes], pa.binary()), pa.array([h.tobytes() for h in hashes], pa.binary())], ["node", "words"])
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from findery.llm.common import Scratch, table
+from findery.llm.common import Scratch, slices, table
 from findery.llm.tokens import default_tokenizer, encoder, ids_crc32, read_spec
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, chunk int, ordinal long"
@@ -207,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
         end = np.array([end_id], dtype=np.uint32)
         names = ("doc_id", "piece", "start", "length", "ids_crc32", "chunk", "ordinal")
         kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64())
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
                 ids = np.concatenate([ids, end])

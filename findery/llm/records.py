@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm.common import Scratch, table
+from findery.llm.common import Scratch, slices, table
 from findery.llm.tokens import default_tokenizer, encoder, ids_crc32, read_spec
 
 MAGIC = b"FNDRIDX1"
@@ -155,7 +155,7 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
         width = 2 if max(enc.vocabulary - 1, end_id) < 1 << 16 else 4
         end = np.array([end_id], dtype=np.uint32)
         out = None
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1))):
                 out = out or ShardWriter(folder, number, width)
                 out.add(doc_id, np.concatenate([ids, end]))

@@ -82,7 +82,7 @@ class _Index(dict):
 
 
 class Encoder:
-    def __init__(self, spec: str, max_words: int = 800_000, max_ids: int = 6_000_000):
+    def __init__(self, spec: str, max_words: int = 350_000, max_ids: int = 2_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

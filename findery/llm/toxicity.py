@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm import codepoints as cp
-from findery.llm.common import id_crc, sample_fraction, table
+from findery.llm.common import give_back, id_crc, sample_fraction, table
 
 WINDOW, STRIDE, HIDDEN = 16, 8, 8
 PREFIXES, INNER = (3, 4, 5, 6), 4
@@ -307,6 +307,7 @@ def toxicity(spark: SparkSession, model: Model, text: Column) -> Column:
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
             yield pd.Series(predict(shared.value, part.tolist()))
+        give_back()
 
     return score.asNondeterministic()(text)  # never evaluated twice
 
