@@ -232,10 +232,11 @@ def train(texts: list[str], labels: np.ndarray, turns: int = 3, epochs: int = 6,
         if n:
             x, which = features(parts[k], w)
             at = windows(n)[:, None] + np.arange(WINDOW)
-            data.append((x, np.where(at < n, which[np.minimum(at, n - 1)], -1)))
+            data.append((x, np.where(at < n, which[np.minimum(at, n - 1)], -1).astype(np.int32)))
         else:
-            data.append((np.zeros((0, FEATURES), np.float32), np.full((1, WINDOW), -1)))
+            data.append((np.zeros((0, FEATURES), np.float32), np.full((1, WINDOW), -1, dtype=np.int32)))
     model = Model(*_tables(words, labels), fresh(seed), 0.0)
+    del words, parts
     net, state, step = model.net, {k: [np.zeros_like(v)] * 2 for k, v in fresh().items()}, 0
     for turn in range(turns):
         chosen, ys = [], []
@@ -263,14 +264,17 @@ def train(texts: list[str], labels: np.ndarray, turns: int = 3, epochs: int = 6,
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1500, clean_docs: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1000, clean_docs: int = 2000) -> Model:
     """Learn from labelled texts.  A document with several labels is toxic if one says so; NULL labels and ids are left out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     parts = [sample_fraction(known.filter(F.col("toxic") == k), "doc_id", sizes.get(k, 0), most) for k, most in ((1, toxic_docs), (0, clean_docs))]
     sample = parts[0].unionByName(parts[1])  # bounded, so it may be broadcast
     rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id").orderBy("doc_id", "text").toPandas()
-    return train(rows["text"].tolist(), rows["toxic"].to_numpy(dtype=np.int64))
+    model = train(rows["text"].tolist(), rows["toxic"].to_numpy(dtype=np.int64))
+    del rows
+    give_back()  # the driver goes on for long
+    return model
 
 
 def predict(model: Model, texts: list[str | None], block: int = 60_000) -> np.ndarray:
