@@ -7,8 +7,8 @@ released blocks, the one with the earliest deadline (ties: the source that comes
 first).  Then after t slots each source has had more than w t - 1 and fewer than
 w t + 1 blocks.  All arithmetic is in whole numbers.
 
-When a source has no blocks left a phase ends; the next phase starts afresh with
-the weights of the sources that still have some.  So every document gets exactly
+When it is the turn of a source that has no blocks left, a phase ends; the next phase
+starts afresh with the weights of the sources that still have some.  So every document gets exactly
 one position, and within each phase the bound holds.  Phase 0 is the part that
 has the target weights; ``mixture`` keeps just that.
 
@@ -63,10 +63,10 @@ def schedule(blocks: Mapping[str | None, int], weights: Mapping[str | None, int]
                 heapq.heappush(ready, (-(-(n + 1) * total // own[active[k]]), k, n, release))
             deadline, k, n, release = heapq.heappop(ready)
             source = active[k]
-            out.append((len(out), source, begun[source] + n, phase, first + release, first + deadline))
-            done[source] += 1
             if done[source] == blocks[source]:
                 break
+            out.append((len(out), source, begun[source] + n, phase, first + release, first + deadline))
+            done[source] += 1
             heapq.heappush(waiting, ((n + 1) * total // own[source], k, n + 1))
         phase += 1
     return out
@@ -116,7 +116,7 @@ def mix(
 
 
 def mixture(docs: DataFrame, weights: Mapping[str | None, int] | None = None, scratch: Scratch | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` that the target weights can be kept for: those of phase 0, until a source runs out."""
+    """The rows of ``docs`` that the target weights can be kept for: those of phase 0, until a source that has run out is due."""
     kept = mix(docs, weights, scratch=scratch, **options).filter("phase = 0").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi")
 
