@@ -168,6 +168,13 @@ def test_mixing_bound_and_whole():
             assert all(-1 < weights[s] * t / 11 - done[s] < 1 for s in blocks)
 
 
+def test_mixing_phase_ends_when_an_empty_source_is_due():
+    made = mixing.schedule(dict.fromkeys("abc", 1), dict.fromkeys("abc", 1))
+    assert [x[1] for x in made] == ["a", "b", "c"] and {x[3] for x in made} == {0}
+    made = mixing.schedule({"a": 9, "b": 2}, {"a": 1, "b": 1})
+    assert "".join(x[1] for x in made) == "ababaaaaaaa" and [x[3] for x in made] == [0] * 5 + [1] * 6
+
+
 def test_mixing_rows(spark, odd):
     got = mixing.mix(odd, block_docs=2).toPandas()
     assert sorted(got["position"]) == list(range(odd.count()))
@@ -206,6 +213,13 @@ def test_language(spark, data, odd):
     assert langid.predict(empty, "text") == ("und", 0.0)
 
 
+def test_toxicity_lift():
+    base = np.log(0.7 / 0.3)
+    clean, hot = np.array([-3.0, -2, 1.5, -1]), np.array([2.0, 3])
+    assert base + toxicity.lift(np.append(clean, hot), np.array([0, 0, 0, 0, 1, 1])) == pytest.approx(1.75)
+    assert toxicity.lift(np.array([-2.0, 2]), np.array([0, 1])) == 0
+
+
 def test_toxicity_gradients_and_learning():
     rng = np.random.default_rng(4)
     net = {k: v.astype(np.float64) for k, v in toxicity.fresh().items()}
