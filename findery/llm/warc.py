@@ -12,7 +12,7 @@ records that are corrupt, missing or extra.  Each level is written once and read
 a semi-join with the differing parents.
 
 ``serialise`` makes WARC/1.0 response records of pages and lays them out in
-archives of ``PAGES`` pages by id, in order of (page_id, url, html), nulls first.
+archives of ``PAGES`` pages by id, in order of (page_id, url, digest), nulls first.
 Pages without an id are dealt to archives of their own by a hash.  A NULL url or
 html is empty.
 """
@@ -34,13 +34,16 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat(*head, F.lit("\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"))
 
 
-def serialise(pages: DataFrame) -> DataFrame:
-    """(archive, page_id, url, html, offset, length, digest): the index of the archives that hold the pages."""
+def serialise(pages: DataFrame, *more: Column) -> DataFrame:
+    """(archive, page_id, url, length, digest, ..., offset): the index of the archives that hold the pages.
+
+    Bodies become lengths and digests before anything is shuffled.
+    """
     lost = -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1024))
-    placed = pages.select("page_id", "url", "html", F.coalesce(F.floor(F.col("page_id") / PAGES), lost).cast("long").alias("archive"))
+    archive = F.coalesce(F.floor(F.col("page_id") / PAGES), lost).cast("long").alias("archive")
     record = record_bytes(F.col("page_id"), F.col("url"), F.col("html"))
-    sized = placed.withColumn("length", F.octet_length(record).cast("long")).withColumn("digest", F.sha2(record.cast("binary"), 256))
-    before = W.partitionBy("archive").orderBy("page_id", "url", "html").rowsBetween(W.unboundedPreceding, -1)
+    sized = pages.select(archive, "page_id", "url", F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"), *more)
+    before = W.partitionBy("archive").orderBy("page_id", "url", "digest").rowsBetween(W.unboundedPreceding, -1)
     return sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
@@ -97,19 +100,20 @@ def audit(primary: DataFrame, replica: DataFrame, scratch: Scratch | None = None
     )
 
 
-def faulty_copy(records: DataFrame) -> DataFrame:
-    """A replica for trials: by page_id, some records have a wrong first character, some an erased body, some are missing."""
+def faulty_digest() -> Column:
+    """For trials, the digest of a page's record in a bad replica: by page_id, a wrong first character, an erased body, none (NULL), or the right one."""
     kind = F.pmod(F.col("page_id") * 37, F.lit(101))
     html = F.when(kind == 0, F.concat(F.lit("~"), F.substring("html", 2, 1 << 30))).when(kind == 1, F.regexp_replace("html", r"[\s\S]", "0")).otherwise(F.col("html"))
-    kept = records.filter(kind.isNull() | (kind != 2)).withColumn("bad", html)
-    changed = F.when(kind.isin(0, 1), F.sha2(record_bytes(F.col("page_id"), F.col("url"), F.col("bad")).cast("binary"), 256)).otherwise(F.col("digest"))
-    return kept.withColumn("digest", changed).drop("bad")
+    digest = F.sha2(record_bytes(F.col("page_id"), F.col("url"), html).cast("binary"), 256)
+    return F.when(kind.isNull() | (kind != 2), digest)
 
 
 def op1_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Archives of all pages against a copy with planted faults."""
-    records = serialise(table(spark, sf_dir, "pages"))
-    return audit(records, faulty_copy(records))
+    scratch = Scratch(spark)
+    records = scratch.keep(serialise(table(spark, sf_dir, "pages"), faulty_digest().alias("copy")), "records")
+    replica = records.filter(F.col("copy").isNotNull()).withColumn("digest", F.col("copy"))
+    return audit(records, replica, scratch)
 
 
 OP1_SQL = r"""
@@ -125,7 +129,7 @@ r AS (
   FROM p),
 o AS (
   SELECT *, strlen(rec)::BIGINT AS length, sha256(rec) AS digest,
-         coalesce(sum(strlen(rec)) OVER (PARTITION BY archive ORDER BY page_id, url, html ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+         coalesce(sum(strlen(rec)) OVER (PARTITION BY archive ORDER BY page_id, url, sha256(rec) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
          sha256(head || strlen(coalesce(bad, ''))::VARCHAR || repeat(chr(13) || chr(10), 2) || coalesce(bad, '') || repeat(chr(13) || chr(10), 2)) AS other
   FROM r)
 SELECT archive, page_id, "offset", length, CASE kind WHEN 2 THEN 'missing' ELSE 'corrupt' END AS verdict, digest,
