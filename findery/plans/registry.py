@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from findery.config import DEFAULTS
 from findery.functions import hashing, html, urls, vectors
 from findery.functions import text as T
+from findery.functions.stem import stems
 from findery.operators import dedup, frontier, graph, index, search, store
 from findery.plans import fixtures as X
 from findery.session import read, snapshot
@@ -65,6 +66,12 @@ def preprocess_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", T.preprocess(F.col("text"))).alias("tokens"))
 
 
+@query()
+def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix rules in steps are beyond SQL; the stems are tested against published ones."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.concat_ws(" ", stems(T.tokens(F.col("text")))).alias("stems"))
+
+
 @query(f"WITH {X.POST_SQL} SELECT doc_id, term, tf FROM postings")
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.postings(X.tokenised(spark, sf_dir)).select("doc_id", "term", "tf")

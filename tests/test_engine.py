@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from findery.functions import hashing, html, text, urls, vectors
+from findery.functions import hashing, html, stem, text, urls, vectors
 from findery.functions.models import encode, hashing_encoder
 from findery.operators import dedup, frontier, graph, index, search, store
 from findery.plans import registry
@@ -142,6 +142,18 @@ def test_text_functions(spark):
     assert one(spark, text.embed_input(F.lit(""), F.lit(None).cast("string"), F.lit("c"))) == "c"
 
 
+STEMS = """consign consigned:consign consigning:consign consistency:consist consistently:consist consolatory:consolatori
+consolidated:consolid consolingly:consol consols:consol constable:constabl constancy:constanc knackeries:knackeri kneaded:knead knees:knee
+knightly:knight knitting:knit knives:knive generous:generous generate:generat happy:happi running:run hoping:hope hopping:hop cry:cri by say
+dying:die ties:tie cries:cri gas this gaps:gap kiwis:kiwi relational:relat inning agreed:agre controlling:control youth it's:it"""
+
+
+def test_stems(spark):
+    pairs = [(x.split(":") * 2)[:2] for x in STEMS.split()]
+    assert one(spark, stem.stems(F.array(*(F.lit(a) for a, _ in pairs)))) == [b for _, b in pairs]
+    assert one(spark, stem.stems(F.lit(None).cast("array<string>"))) is None
+
+
 def test_query_lines(spark):
     lines = spark.createDataFrame([("1\tfoo bar",), ("x foo",), ("2",), ("",)], "value string")
     assert [tuple(r) for r in batch.parse_queries(lines).collect()] == [(1, "foo bar")]
