@@ -14,11 +14,19 @@ a semi-join with the differing parents.
 ``serialise`` makes WARC/1.0 response records of pages and lays them out in
 archives of ``PAGES`` pages by id, in order of (page_id, url, digest), nulls first.
 Pages without an id are dealt to archives of their own by a hash.  A NULL url or
-html is empty.
+html is empty.  ``read_warc`` makes the index of WARC files that exist.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import re
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +34,8 @@ from pyspark.sql import functions as F
 from findery.llm.common import Scratch, table
 
 RANGE, FANOUT, PAGES = 65_536, 16, 512
+READ, MOST_HEAD, NEXT = 1 << 20, 1 << 20, b"\r\n\r\nWARC/"
+LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n")
 
 
 def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
@@ -47,6 +57,104 @@ def serialise(pages: DataFrame, *more: Column) -> DataFrame:
     return sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
+def member_bounds(parts: Iterator[bytes]) -> Iterator[tuple[int, int, str]]:
+    """(offset, length, SHA-256) of the members of a gzip stream, over the stored bytes.
+
+    From a damaged member on, the rest of the file is one record.
+    """
+    at, size, sha, member, broken = 0, 0, hashlib.sha256(), zlib.decompressobj(31), False
+    for data in parts:
+        while data:
+            used = data
+            try:
+                todo = b"" if broken else data
+                while todo:  # what it holds is not kept
+                    member.decompress(todo, READ)
+                    todo = member.unconsumed_tail
+            except zlib.error:
+                broken = True
+            ended = not broken and member.eof
+            if ended:
+                used = data[: len(data) - len(member.unused_data)]
+            size += len(used)
+            sha.update(used)
+            data = data[len(used) :]
+            if ended:
+                yield at, size, sha.hexdigest()
+                at, size, sha, member = at + size, 0, hashlib.sha256(), zlib.decompressobj(31)
+    if size:
+        yield at, size, sha.hexdigest()
+
+
+def record_bounds(parts: Iterator[bytes]) -> Iterator[tuple[int, int, str]]:
+    """(offset, length, SHA-256) of the records of a plain WARC stream.
+
+    A record whose head or length can't be followed reaches to the next
+    ``WARC/`` after an empty line, or to the end of the file.
+    """
+    held, pos, at, end = b"", 0, 0, False
+
+    def more() -> bool:
+        nonlocal held, pos, end
+        data = next(parts, b"")
+        held, pos, end = held[max(0, pos - 4) :] + data, min(pos, 4), not data
+        return not end
+
+    while pos < len(held) or more():
+        sha, size = hashlib.sha256(), 0
+
+        def take(n: int) -> None:
+            nonlocal pos, size
+            n = min(n, len(held) - pos)
+            sha.update(memoryview(held)[pos : pos + n])
+            pos, size = pos + n, size + n
+
+        while (head := held.find(NEXT[:4], pos)) < 0 and len(held) - pos < MOST_HEAD and more():
+            pass
+        known = LENGTH.search(held, pos, head + 2) if head >= 0 and held.startswith(NEXT[4:], pos) else None
+        if known:
+            left = head - pos + 4 + int(known[1]) + 4
+            while left > len(held) - pos:
+                left -= len(held) - pos
+                take(len(held))
+                if not more():
+                    break
+            else:
+                take(left)
+        else:
+            take(1)
+        while (found := held.find(NEXT, max(0, pos - 4))) < 0 and not end:  # at once, if all is well
+            take(max(0, len(held) - pos - 8))
+            more()
+        take(found + 4 - pos if found >= 0 else len(held))
+        yield at, size, sha.hexdigest()
+        at += size
+
+
+def read_warc(spark: SparkSession, paths: str, tasks: int | None = None) -> DataFrame:
+    """(archive, page_id, offset, length, digest) of every record of the WARC files, plain or gzipped, that ``paths`` names.
+
+    Each file is read once, as a stream in one task, through pyarrow's filesystems;
+    memory does not grow with files or records.  ``archive`` is the file's name,
+    so replicas in two folders can be audited against each other; ``page_id`` is NULL.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path")  # the content is not read
+    schema = pa.schema([("archive", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for path in (p for batch in batches for p in batch.column(0).to_pylist()):
+            fs, name = FileSystem.from_uri(path)
+            with fs.open_input_stream(name, compression=None) as f:
+                first = f.read(READ)
+                parts = itertools.chain([first], iter(lambda: f.read(READ), b"")) if first else iter(())
+                found = member_bounds(parts) if first.startswith(b"\x1f\x8b") else record_bounds(parts)
+                while rows := list(itertools.islice(found, 10_000)):
+                    archive = [name.rsplit("/", 1)[-1]] * len(rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([archive, [None] * len(rows), *map(list, zip(*rows))], schema)], schema=schema)
+
+    return files.repartition(tasks or spark.sparkContext.defaultParallelism, "path").mapInArrow(run, "archive string, page_id long, offset long, length long, digest string")
+
+
 def levels(records: DataFrame, height: int, scratch: Scratch) -> list[DataFrame]:
     """The tree, from the records (level 0) to the roots: (archive, node, parent, digest, ...)."""
     leaf = records.select("archive", "page_id", "offset", "length", "digest", F.floor(F.col("offset") / RANGE).cast("long").alias("parent"))

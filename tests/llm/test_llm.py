@@ -1,5 +1,7 @@
 """The training-data operators against brute force, exact round trips and odd input."""
 
+import gzip
+import hashlib
 import re
 import zlib
 from collections import defaultdict
@@ -196,6 +198,40 @@ def test_warc_faults_are_found(spark, data):
     assert warc.audit(whole.limit(0), whole.limit(0)).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    bodies = [b"a" * 10, b"", b"x\r\n\r\nWARC/1.0 in a body", b"z" * 5000]
+    recs = [b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(b), b) for b in bodies]
+    for side in ("a", "b"):
+        (tmp_path / side).mkdir()
+        (tmp_path / side / "p.warc").write_bytes(b"".join(recs))
+        (tmp_path / side / "z.warc.gz").write_bytes(b"".join(map(gzip.compress, recs)))
+        (tmp_path / side / "none.warc").write_bytes(b"")
+    whole = warc.read_warc(spark, f"file://{tmp_path}/a")
+    starts = np.cumsum([0, *map(len, recs)])
+    plain = whole.filter("archive = 'p.warc'").orderBy("offset").collect()
+    assert [(r["offset"], r["length"], r["digest"]) for r in plain] == [(s, len(x), hashlib.sha256(x).hexdigest()) for s, x in zip(starts, recs)]
+    assert whole.filter("archive = 'z.warc.gz'").count() == 4 and whole.count() == 8
+    bad = bytearray(b"".join(recs))
+    bad[starts[3] + 100] ^= 1
+    (tmp_path / "b" / "p.warc").write_bytes(bad)
+    found = warc.audit(whole, warc.read_warc(spark, f"file://{tmp_path}/b")).collect()
+    assert [(r["archive"], r["offset"], r["verdict"]) for r in found] == [("p.warc", starts[3], "corrupt")]
+    # in pieces of any size the same records are found; damaged heads and lengths cost no other record but those that they hide
+    data = b"".join(recs)
+    for n in (1, 7, 64, 1 << 20):
+        parts = lambda d: iter([d[i : i + n] for i in range(0, len(d), n)])  # noqa: B023, E731
+        assert [x[:2] for x in warc.record_bounds(parts(data))] == [(s, len(x)) for s, x in zip(starts, recs)]
+        assert [x[:2] for x in warc.record_bounds(parts(b"X" + data[1:]))] == [(s, len(x)) for s, x in zip(starts, recs)]
+        assert sum(x[1] for x in warc.record_bounds(parts(data[:-3000]))) == len(data) - 3000
+        for wrong in (b"04", b"09", b"12", b"xx"):
+            odd_one = data.replace(b"Content-Length: 10", b"Content-Length: " + wrong, 1)
+            assert [x[0] for x in warc.record_bounds(parts(odd_one))] == [starts[k] for k in range(4) if k != 1 or wrong != b"12"]
+        zipped = b"".join(map(gzip.compress, recs))
+        assert len(list(warc.member_bounds(parts(zipped)))) == 4
+        hurt = zipped[:5] + b"\xff" * 20 + zipped[25:]
+        assert sum(x[1] for x in warc.member_bounds(parts(hurt))) == len(zipped)
+
+
 def test_quality_of_odd_rows(spark, odd):
     got = quality.judge(odd).toPandas()
     assert len(got) == odd.count() and not got[got["n_words"] == 0]["kept"].any()
