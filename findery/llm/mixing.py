@@ -10,7 +10,7 @@ w t + 1 blocks.  All arithmetic is in whole numbers.
 When it is the turn of a source that has no blocks left, a phase ends; the next phase
 starts afresh with the weights of the sources that still have some.  So every document gets exactly
 one position, and within each phase the bound holds.  Phase 0 is the part that
-has the target weights; ``mixture`` keeps just that.
+has the target weights.  ``mixture`` puts all rows in the order of their positions.
 
 The number of blocks is bounded (``most_blocks``): blocks grow with the corpus.  So
 the schedule is made on the driver and is small enough to be broadcast.  Ranks
@@ -75,30 +75,22 @@ def schedule(blocks: Mapping[str | None, int], weights: Mapping[str | None, int]
 def ranked(docs: DataFrame, ranges: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """``docs`` with ``_nth``, a row's number in its source (from 0), and the counts by source.
 
-    ``docs`` must have an ``_h`` column to order by; ranges of it are numbered one by one.
+    ``docs`` must have columns ``_h`` and ``_tie`` to order by; ranges of ``_h`` are numbered one by one.
     """
     shift = 64 - int(math.log2(ranges))
     keyed = docs.withColumn("_range", F.shiftright(F.col("_h"), shift).cast("int"))
     counts = scratch.keep(keyed.groupBy("source", "_range").agg(F.count("*").alias("n")), "counts")
     before = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     base = counts.select("source", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
-    within = W.partitionBy("source", "_range").orderBy("_h", "doc_id")
+    within = W.partitionBy("source", "_range").orderBy("_h", "_tie")
     numbered = keyed.withColumn("_in", F.row_number().over(within) - 1)
     joined = numbered.alias("x").join(base.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x._range") == F.col("y._range")))
     return joined.select("x.*", (F.col("y._base") + F.col("x._in")).alias("_nth")), counts.groupBy("source").agg(F.sum("n").alias("n"))
 
 
-def mix(
-    docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_docs: int = 16, most_blocks: int = 16_384, ranges: int = 1024, scratch: Scratch | None = None
-) -> DataFrame:
-    """(doc_id, source, block, slot, phase, release, deadline, position) for every row; position is dense from 0.
-
-    ``weights``: whole numbers by source; by default the sources' sizes tempered.
-    """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("doc_id").alias("_h"))
-    rows, by_source = ranked(keys, ranges, scratch)
+def placed(docs: DataFrame, weights: Mapping[str | None, int] | None, block_docs: int, most_blocks: int, ranges: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``docs``, which has ``_h`` and ``_tie``, with block, slot, phase, release, deadline and position; and the number of rows."""
+    rows, by_source = ranked(docs, ranges, scratch)
     counts = {r["source"]: r["n"] for r in by_source.collect()}
     if len(counts) > most_blocks:
         raise ValueError(f"{len(counts)} sources for at most {most_blocks} blocks")
@@ -108,17 +100,42 @@ def mix(
     for slot, source, block, phase, release, deadline in plan:
         table_.append((source, block, slot, phase, release, deadline, start))
         start += min(size, counts[source] - block * size)
-    slots = spark.createDataFrame(table_, "source string, block long, slot long, phase int, release long, deadline long, start long")
+    slots = docs.sparkSession.createDataFrame(table_, "source string, block long, slot long, phase int, release long, deadline long, start long")
     rows = rows.withColumn("block", F.floor(F.col("_nth") / size))
     # at most most_blocks + sources rows: bounded whatever the input
     both = rows.alias("x").join(F.broadcast(slots).alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.block") == F.col("y.block")))
-    return both.select("x.doc_id", "x.source", "x.block", "y.slot", "y.phase", "y.release", "y.deadline", (F.col("y.start") + F.col("x._nth") % size).alias("position"))
+    return both.select("x.*", "y.slot", "y.phase", "y.release", "y.deadline", (F.col("y.start") + F.col("x._nth") % size).alias("position")), start
+
+
+def mix(
+    docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_docs: int = 16, most_blocks: int = 16_384, ranges: int = 1024, scratch: Scratch | None = None
+) -> DataFrame:
+    """(doc_id, source, block, slot, phase, release, deadline, position) for every row; position is dense from 0.
+
+    ``weights``: whole numbers by source; by default the sources' sizes tempered.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("doc_id").alias("_h")).withColumn("_tie", F.col("doc_id"))
+    rows, _ = placed(keys, weights, block_docs, most_blocks, ranges, scratch)
+    return rows.select("doc_id", "source", "block", "slot", "phase", "release", "deadline", "position")
 
 
-def mixture(docs: DataFrame, weights: Mapping[str | None, int] | None = None, scratch: Scratch | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` that the target weights can be kept for: those of phase 0, until a source that has run out is due."""
-    kept = mix(docs, weights, scratch=scratch, **options).filter("phase = 0").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+def mixture(
+    docs: DataFrame, weights: Mapping[str | None, int] | None = None, block_docs: int = 16, most_blocks: int = 16_384, ranges: int = 1024, scratch: Scratch | None = None
+) -> DataFrame:
+    """All rows of ``docs`` in the order of the schedule: partition by partition, and so file by file once written.
+
+    Whole rows take part, so rows with a NULL or repeated id get places of their own;
+    those without an id are ordered by a hash of the row.
+    """
+    spark = docs.sparkSession
+    scratch = scratch or Scratch(spark)
+    whole = F.xxhash64(*docs.columns)
+    keyed = docs.withColumns({"_h": F.when(F.col("doc_id").isNull(), whole).otherwise(F.xxhash64("doc_id")), "_tie": whole})
+    rows, n = placed(keyed, weights, block_docs, most_blocks, ranges, scratch)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_task", F.floor(F.col("position") * tasks / max(n, 1)).cast("int")).repartitionById(tasks, "_task")
+    return dealt.sortWithinPartitions("position").select(*docs.columns)
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

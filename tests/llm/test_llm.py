@@ -183,6 +183,18 @@ def test_mixing_rows(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixture_keeps_every_row_in_schedule_order(spark):
+    rows = [(i, f"t{i}", "hot") for i in range(200)] + [(1000 + i, f"s{i}", "small") for i in range(3)]
+    rows += [(None, "no id", "hot"), (None, "no id either", "small"), (7, "other text", "hot"), (7, "other text", "hot")]
+    docs = docs_of(spark, rows)
+    got = [(r["doc_id"], r["text"], r["source"]) for r in mixing.mixture(docs, block_docs=1).collect()]
+    key = lambda r: str(r)
+    assert sorted(got, key=key) == sorted(rows, key=key)
+    place = mixing.mix(docs, block_docs=1).orderBy("position").collect()
+    assert [r[2] for r in got] == [r["source"] for r in place] and place[-1]["phase"] > 0
+    assert mixing.mixture(docs.limit(0)).count() == 0
+
+
 def test_chat(spark):
     turns = [(1, 0, "u", "a"), (1, 1, "b", "c"), (2, 0, "u", "a"), (3, 0, "u", "a"), (3, 1, "b", "c"), (4, 0, None, None), (None, 0, "u", "z"), (5, 0, "u", "<|im_end|>")]
     got = {r["conv_id"]: (r["n_copies"], r["text"]) for r in chat.chat_documents(spark.createDataFrame(turns, "conv_id long, turn int, role string, text string")).collect()}
