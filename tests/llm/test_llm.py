@@ -134,6 +134,16 @@ def test_near_join_equals_brute_force(spark, tile):
     assert got == brute_near(rows)
 
 
+def test_near_duplicates_go_by_row(spark, data):
+    import corpus_pipeline as pipeline
+
+    a, b, c, d, e = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcde")
+    rows = [(7, a, "s"), (7, b, "s"), (3, b + " more", "s"), (None, c, "s"), (None, d, "s"), (9, d, "t"), (5, e, "s"), (5, e, "t"), (None, "", "s"), (None, None, "s"), (8, "", "s"), (8, "", "s")]
+    got = pipeline.near_duplicates(spark, docs_of(spark, rows), data)
+    want = [(7, a), (3, b + " more"), (None, c), (9, d), (5, e), (None, ""), (None, None), (8, ""), (8, "")]
+    assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(map(str, want))
+
+
 def test_bands_reach_the_recall():
     bands, rows = nearjoin.choose_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
