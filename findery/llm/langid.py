@@ -9,6 +9,11 @@ A text's score for each language is the sum of its n-grams' rows; ``score`` is t
 posterior of the best one.  NULL texts and texts without a letter are ``und`` with
 score 0, as is everything if there is nothing to learn from.  Ties go to the
 language that comes first in the alphabet.
+
+The posterior says which of the learned languages fits best, not whether any does:
+over hundreds of n-grams it is 1 for whatever text.  That is what ``evidence`` is for,
+the mean log-likelihood of the text's n-grams in the best language.  It is compared
+with what is usual for training texts of that language (``usual``).
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ class Model:
     prior: np.ndarray
     table: np.ndarray  # buckets x languages
     bits: int
+    total: np.ndarray  # by language, n-grams counted and those that smoothing adds
+    least: np.ndarray  # by bucket, those that smoothing adds
 
 
 def grams(text: str, bits: int) -> np.ndarray | None:
@@ -59,14 +66,18 @@ def grams(text: str, bits: int) -> np.ndarray | None:
     return np.concatenate(out).astype(np.int64)
 
 
+def _sample(docs: DataFrame, train_docs: int) -> DataFrame:
+    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    return sample_fraction(usable, "doc_id", usable.count(), train_docs).select("lang", "text")
+
+
 def fit(docs: DataFrame, bits: int = 16, train_docs: int = 20_000, smoothing: float = 0.1) -> Model:
     """Learn from rows with a text and a language: all, or about ``train_docs`` of them, chosen by a hash of the id.
 
     Each task adds up its counts, so that what is shuffled and collected is
     bounded by buckets x languages for each task and in all.
     """
-    usable = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sample = sample_fraction(usable, "doc_id", usable.count(), train_docs).select("lang", "text")
+    sample = _sample(docs, train_docs)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
@@ -105,30 +116,57 @@ def fit(docs: DataFrame, bits: int = 16, train_docs: int = 20_000, smoothing: fl
     share = (counts.sum(axis=1, keepdims=True) + 1) / (counts.sum() + (1 << bits))
     weight = smoothing * (1 << bits)
     probability = (counts + weight * share) / (counts.sum(axis=0, keepdims=True) + weight)
-    return Model(langs, np.log(prior / max(prior.sum(), 1)), np.log(probability).astype(np.float32), bits)
+    return Model(langs, np.log(prior / max(prior.sum(), 1)), np.log(probability).astype(np.float32), bits, counts.sum(axis=0) + weight, weight * share[:, 0])
 
 
-def predict(model: Model, text: str | None) -> tuple[str, float]:
+def without(model: Model, lang: str, found: np.ndarray) -> float:
+    """The evidence for ``lang`` of a training text, had it not been learned."""
+    k = model.langs.index(lang)
+    bucket, n = np.unique(found, return_counts=True)
+    others = np.maximum(np.exp(model.table[bucket, k].astype(np.float64)) * model.total[k] - n, model.least[bucket])
+    return float(n @ np.log(others / max(model.total[k] - len(found), 1)) / len(found))
+
+
+def usual(docs: DataFrame, model: Model, train_docs: int = 20_000) -> dict[str, float]:
+    """By language, the median evidence of the texts that ``fit`` learned from, each without itself.  At most about ``train_docs`` numbers are collected."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kind = pa.schema([("lang", pa.string()), ("evidence", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            rows = [(lang, found) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (found := grams(text, shared.value.bits)) is not None]
+            yield pa.RecordBatch.from_pydict({"lang": [x for x, _ in rows], "evidence": [without(shared.value, *x) for x in rows]}, schema=kind)
+
+    found = _sample(docs, train_docs).mapInArrow(run, "lang string, evidence double").toPandas()
+    return {str(k): float(v) for k, v in found.groupby("lang")["evidence"].median().items()}
+
+
+def judge(model: Model, text: str | None) -> tuple[str, float, float]:
+    """The predicted language, its posterior and the evidence for it, -inf for ``und``."""
     found = grams(text, model.bits) if text and model.langs else None
     if found is None:
-        return UNKNOWN, 0.0
+        return UNKNOWN, 0.0, -np.inf
     if len(found) > len(model.table) // 4:  # as counts, once a text fills many buckets
         x = np.bincount(found, minlength=len(model.table)) @ model.table.astype(np.float64)
     else:
         x = model.table[found].sum(axis=0, dtype=np.float64)
-    x = x + model.prior
-    k = int(x.argmax())
-    return model.langs[k], float(1 / np.exp(x - x[k]).sum())
+    y = x + model.prior
+    k = int(y.argmax())
+    return model.langs[k], float(1 / np.exp(y - y[k]).sum()), float(x[k] / len(found))
+
+
+def predict(model: Model, text: str | None) -> tuple[str, float]:
+    return judge(model, text)[:2]
 
 
 def identify(spark: SparkSession, model: Model, text: Column) -> Column:
-    """A column with the predicted language and its score, struct(lang_pred, score)."""
+    """A column with the predicted language, its score and the evidence for it, struct(lang_pred, score, evidence)."""
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, evidence double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([predict(shared.value, x) for x in part], columns=["lang_pred", "score"])
+            yield pd.DataFrame([judge(shared.value, x) for x in part], columns=["lang_pred", "score", "evidence"])
         give_back()
 
     return score.asNondeterministic()(text)  # never evaluated twice

@@ -271,6 +271,24 @@ def test_language(spark, data, odd):
     assert langid.predict(empty, "text") == ("und", 0.0)
 
 
+def test_language_stage_rejects_what_was_not_learned(spark, data):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    rng = np.random.default_rng(5)
+    letters = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 10))) for _ in range(50))
+    other = ["Привет, как дела? Сегодня хорошая погода, и мы идём гулять в парк.", "这是一个关于数据处理的句子", "これは言語識別をテストするための文です", "هذه جملة باللغة العربية", letters]
+    more = spark.createDataFrame([(-1 - k, x, None, "odd", len(x)) for k, x in enumerate(other)], docs.schema)
+    both = pipeline.language(spark, docs.unionByName(more), data)
+    assert both.filter("source = 'odd'").count() == 0 and both.count() == docs.count()
+    assert pipeline.language(spark, docs.limit(0), data).count() == 0
+    model = langid.fit(docs)
+    k, text = model.langs.index("en"), docs.filter("lang = 'en'").first()["text"]
+    found = langid.grams(text, model.bits)
+    counts = np.exp(model.table[:, k].astype(float)) * model.total[k] - np.bincount(found, minlength=1 << model.bits)
+    assert langid.without(model, "en", found) == pytest.approx(np.log(counts / counts.sum())[found].mean(), rel=1e-3)
+
+
 def test_toxicity_lift():
     base = np.log(0.7 / 0.3)
     clean, hot = np.array([-3.0, -2, 1.5, -1]), np.array([2.0, 3])
