@@ -48,6 +48,7 @@ def verdicts(ids: DataFrame, pairs: DataFrame, most_rounds: int = 1000) -> DataF
     Greedy, in rounds on the graph of pairs: a document none of whose earlier
     neighbours is undecided or kept is kept, and its later neighbours are dropped.
     A dropped one takes the content of its nearest kept neighbour.
+    An error if some are still undecided after ``most_rounds``.
     """
     todo = snapshot(pairs.select("a", "b").distinct(), "todo")
     kept_parts, dropped = [], None
@@ -61,6 +62,9 @@ def verdicts(ids: DataFrame, pairs: DataFrame, most_rounds: int = 1000) -> DataF
         dropped = out if dropped is None else dropped.unionByName(out)
         rest = todo.join(out.select(F.col("n").alias("b")), "b", "left_anti").join(free.select(F.col("n").alias("a")), "a", "left_anti")
         todo = snapshot(rest.join(out.select(F.col("n").alias("a")), "a", "left_anti").select("a", "b"), "todo")
+    else:
+        if not todo.isEmpty():
+            raise RuntimeError(f"documents are undecided after {most_rounds} rounds")
     if dropped is None:
         return ids.select("doc_id", F.lit(True).alias("kept"), F.col("doc_id").alias("content_of"))
     gone = dropped.select(F.col("n").alias("doc_id"), F.lit(False).alias("kept"))

@@ -121,6 +121,13 @@ def test_greedy_verdicts(spark):
     assert dedup.verdicts(ids, pairs.limit(0)).filter("kept").count() == 6
 
 
+def test_verdicts_are_never_left_undecided(spark):
+    ids, pairs = spark.range(6).toDF("doc_id"), spark.createDataFrame([(k, k + 1, 0.1) for k in range(5)], "a long, b long, jaccard double")
+    with pytest.raises(RuntimeError, match="undecided"):
+        dedup.verdicts(ids, pairs, most_rounds=2)
+    assert [r["kept"] for r in dedup.verdicts(ids, pairs, most_rounds=3).orderBy("doc_id").collect()] == [True, False] * 3
+
+
 def test_urls(spark):
     clean = lambda u: one(spark, urls.clean(F.lit(u)))
     assert clean("HTTPS://a.b/x//?q#f") == "https://a.b/x"
