@@ -18,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The cluster's checkpoint folder; a temporary one only where none is set and all tasks run on this machine, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="findery-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -30,13 +33,22 @@ class Scratch:
     """One folder below the shared root for an operator's written tables.
 
     Tables there cut lineage: a lost executor costs at most the stage that reads
-    them, and every reader sees the same rows.  ``release`` deletes the folder;
-    call it once the operator's result has been written.
+    them, and every reader sees the same rows.  ``drop`` deletes tables that nothing
+    reads any more, ``release`` the folder, once the operator's result has been
+    written.  What is left goes when the driver's JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_root(spark)}/findery-{uuid.uuid4().hex}"
+        self.tables: dict[int, str] = {}
+        where, fs = self._at(self.path)
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def sub(self, name: str) -> str:
         return f"{self.path}/{name}"
@@ -44,12 +56,45 @@ class Scratch:
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = self.sub(f"{name}-{uuid.uuid4().hex[:8]}")
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.tables[id(out)] = path
+        return out
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Delete tables that ``keep`` returned."""
+        for df in kept:
+            where, fs = self._at(self.tables.pop(id(df)))
+            fs.delete(where, True)
 
     def release(self) -> None:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(self.path)
-        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        where, fs = self._at(self.path)
+        fs.delete(where, True)
+
+
+_SHARED: list = []
+
+
+def share(spark: SparkSession, value):
+    """Broadcast a value of bounded size to the tasks."""
+    _SHARED.append(spark.sparkContext.broadcast(value))
+    return _SHARED[-1]
+
+
+def shared_so_far() -> int:
+    return len(_SHARED)
+
+
+def forget_shared(since: int) -> None:
+    """Destroy what ``share`` has broadcast since there were so many; nothing that needs it may still have to run."""
+    while len(_SHARED) > since:
+        _SHARED.pop().destroy()
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers get at most so many rows at once from now on, as texts may be long."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
 
 
 def id_crc(column: str = "doc_id"):
@@ -65,11 +110,19 @@ def sample_fraction(df: DataFrame, key: str, rows: int, at_most: int) -> DataFra
     return df.filter(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < cut)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows; once they end, the worker, which Spark keeps, gives its free memory back."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows and, unless one row is larger, about so many bytes.
+
+    Once they end, the worker, which Spark keeps, gives its free memory back.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        at = 0
+        while at < batch.num_rows:
+            n = min(rows, batch.num_rows - at)
+            while n > 1 and batch.slice(at, n).nbytes > size:
+                n = -(-n // 2)
+            yield batch.slice(at, n)
+            at += n
     give_back()
 
 
