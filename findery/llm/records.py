@@ -16,7 +16,9 @@ with the tokens before each.
 
 Documents are in ascending ``doc_id`` order across the shards.  Rows without an id
 come first, ordered by a hash of their text; rows that share an id keep all their
-copies, in that order too.  A NULL or empty text is just the end id.
+copies, in that order too, so also whole rows that repeat.  A NULL or empty text is just the end id.
+A text of any length is one record, encoded and written by one task.  No documents make no shards and
+give no rows.  Columns besides ``doc_id`` and ``text`` play no part.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findery.llm.common import Scratch, slices, table
+from findery.llm.common import Scratch, bounded_batches, share, slices, table
 from findery.llm.tokens import default_tokenizer, encoder, ids_crc32, read_spec
 
 MAGIC = b"FNDRIDX1"
@@ -142,10 +144,10 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
     """Encode every text, write the shards below ``folder`` and return the manifest's shards.
 
     One range shuffle of (doc_id, text) gives the order; equal or missing ids are
-    spread by a hash of the text.  The driver gets one row per shard.
+    spread by a hash of the text, and equal texts of these by the rows' places in the input.  The driver gets one row per shard.
     """
     spark = docs.sparkSession
-    spec = spark.sparkContext.broadcast(read_spec(tokenizer))
+    spec = share(spark, read_spec(tokenizer))
     fs, base = _filesystem(folder)
     fs.create_dir(base, recursive=True)
 
@@ -163,8 +165,8 @@ def write_token_records(docs: DataFrame, folder: str, tokenizer: str, end_id: in
             out.close()
             yield pa.RecordBatch.from_pydict({"number": [number], "records": [len(out.rows)], "tokens": [out.tokens], "bytes": [out.bytes], "width": [width]})
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"))
-    keys = [F.col("doc_id").asc_nulls_first(), F.col("_h")]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_row"))
+    keys = [F.col("doc_id").asc_nulls_first(), F.col("_h"), F.col("_row")]
     count = max(1, docs.count() // rows_per_shard) if rows_per_shard else None
     ranged = keyed.repartitionByRange(count, *keys) if count else keyed.repartitionByRange(*keys)
     done = (
@@ -205,6 +207,7 @@ def read_token_records(spark: SparkSession, folder: str, shards: list[dict]) ->
 
 
 def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents")
     folder = Scratch(spark).sub("records")
     return read_token_records(spark, folder, write_token_records(docs, folder, default_tokenizer(), end_id=2))

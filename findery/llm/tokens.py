@@ -5,9 +5,13 @@ by a character other than white space, so the words between such spaces can be
 encoded one by one and their ids joined: the ids are those of the whole text.
 Arrow splits a batch into words and finds the distinct ones; words not seen
 before are cut into pieces by the pre-tokenizer's rule, and the library's model
-encodes the pieces not seen before.  Texts with white space after a space, words
-that hold more than Latin letters, digits and ASCII signs, and tokenizers of
+encodes the pieces not seen before.  Texts with white space after a space, texts
+that hold the string of an added token (which the library takes for that token),
+words that hold more than Latin letters, digits and ASCII signs, and tokenizers of
 another kind are given to the library whole.
+
+What is remembered of words and pieces is bounded in number and in ids, and dropped
+when the bound is reached: a worker's memory does not grow with what it has read.
 """
 
 from __future__ import annotations
@@ -87,7 +91,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.units = Tokenizer(self.tokenizer.model)  # takes pieces as they are
         form = json.loads(spec)
         pre = form.get("pre_tokenizer") or {}
@@ -97,11 +100,13 @@ class Encoder:
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space", True)
-            and all(x.get("special") for x in form.get("added_tokens") or [])
             and isinstance(form["model"].get("vocab"), dict)
             and not form["model"].get("unk_token")
         )
         self.vocabulary = self.tokenizer.get_vocab_size()
+        added = [x["content"] for x in form.get("added_tokens") or [] if x["content"]]
+        self.by_word = self.by_word and len(added) <= 500
+        self.whole = "|".join([SPACES, *map(re.escape, added)])  # texts that are not cut into words
         if self.by_word:
             self.letters = np.zeros(max(form["model"]["vocab"].values()) + 1, dtype=np.int64)
             for x, i in form["model"]["vocab"].items():
@@ -166,7 +171,7 @@ class Encoder:
             texts = texts.combine_chunks() if texts.num_chunks != 1 else texts.chunk(0)
         out: list[np.ndarray] = [np.empty(0, dtype=np.uint32)] * len(texts)
         sizes = pc.fill_null(pc.binary_length(texts), 0)
-        easy = pc.invert(pc.fill_null(pc.match_substring_regex(texts, SPACES), False)) if self.by_word else pa.array([False] * len(texts), pa.bool_())
+        easy = pc.invert(pc.fill_null(pc.match_substring_regex(texts, self.whole), False)) if self.by_word else pa.array([False] * len(texts), pa.bool_())
         easy = easy.to_numpy(zero_copy_only=False)
         sizes = sizes.to_numpy(zero_copy_only=False).astype(np.int64)
         rows = np.flatnonzero(easy & (sizes > 0))
