@@ -1,15 +1,23 @@
 """Operator 5: language identification by multinomial naive Bayes over hashed character n-grams.
 
-A text's features are the n-grams (1 to 3 code points) of its lower-cased letters,
-every run of other characters counting as one space, hashed to ``2**bits``
+A text's features are the n-grams (1 to 3 code points) of a space and its lower-cased
+letters, every run of other characters counting as one space, hashed to ``2**bits``
 buckets.  The model is the matrix of log-probabilities (buckets x languages),
-which is broadcast: its size is fixed by the number of buckets and languages.
+which is broadcast: its size is fixed by the number of buckets and the bound on languages.
 
-A text's score for each language is the sum of its n-grams' rows; ``score`` is the
+Scoring takes a batch of texts at once: their n-grams are one sparse matrix of texts x
+buckets, in rows one after another, and its product with the log-probabilities is
+summed up row by row, in blocks, so that memory does not grow with a text but for
+its code points.  A text's score for each language is the sum of its n-grams' rows; ``score`` is the
 posterior of the best one.  NULL texts and texts without a letter are ``und`` with
 score 0, as is everything if there is nothing to learn from.  Ties go to the
 language that comes first in the alphabet.
 
+If ``lang`` has more than ``most_languages`` values among the training rows, those that
+most rows have are learned (ties: the first in the alphabet); the others' rows are not.
+Each row is a row of its own, so NULL or repeated ids, repeated rows and other columns,
+whatever their names, change nothing; an empty table gives an empty result.
+
 The posterior says which of the learned languages fits best, not whether any does:
 over hundreds of n-grams it is 1 for whatever text.  That is what ``evidence`` is for,
 the mean log-likelihood of the text's n-grams in the best language.  It is compared
@@ -28,12 +36,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm import codepoints as cp
-from findery.llm.common import give_back, id_crc, sample_fraction, slices, table
+from findery.llm.common import bounded_batches, id_crc, sample_fraction, share, slices, table
 
 UNKNOWN = "und"
 ORDERS = (1, 2, 3)
-#: More languages than this and the broadcast matrix would need another shape.
-MOST_LANGUAGES = 512
+BLOCK = 1 << 17  # n-grams looked up at once
 
 
 @dataclass
@@ -46,24 +53,38 @@ class Model:
     least: np.ndarray  # by bucket, those that smoothing adds
 
 
-def grams(text: str, bits: int) -> np.ndarray | None:
-    """Buckets of a text's n-grams; None if it has no letter."""
-    points = cp.codes(text.lower())
+def grams(texts: list[str], bits: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The n-grams of texts, one after another: (for each order, buckets by place; each place's text; each text's number of places).
+
+    An n-gram that would reach into the next text has bucket ``2**bits``; a text without a letter has no places.
+    """
+    lowered = [f" {x.lower()}" for x in texts]
+    sizes = np.fromiter(map(len, lowered), dtype=np.int64, count=len(lowered))
+    points = cp.codes("".join(lowered))
+    starts = np.cumsum(sizes) - sizes
     letter = cp.is_letter(points)
-    if not letter.any():
-        return None
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of each run of others stands for a space
+    keep[starts] = True
+    keep &= np.repeat(np.add.reduceat(letter, starts, dtype=np.int64) > 0, sizes)
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)[keep]
     x = np.where(letter, points, np.uint32(32))[keep].astype(np.uint64)
-    x = np.concatenate([[np.uint64(32)], x]) if letter[0] else x
-    out, shift = [], np.uint64(64 - bits)
-    h = np.zeros(len(x), dtype=np.uint64)
+    del points, letter, keep
+    places = np.bincount(owner, minlength=len(texts))
+    h, out = np.zeros(len(x), dtype=np.uint64), []
     for n in range(1, ORDERS[-1] + 1):
-        if len(x) < n:
-            break
-        h = h[: len(x) - n + 1] * cp.CHAR + x[n - 1 :]
-        out.append(((h + np.uint64(n)) * cp.MULT) >> shift)
-    return np.concatenate(out).astype(np.int64)
+        h[: len(x) - n + 1] = h[: len(x) - n + 1] * cp.CHAR + x[n - 1 :]
+        bucket = (((h + np.uint64(n)) * cp.MULT) >> np.uint64(64 - bits)).astype(np.int32)
+        if n > 1:
+            bucket[max(0, len(x) - n + 1) :] = 1 << bits
+            bucket[: len(x) - n + 1][owner[n - 1 :] != owner[: len(x) - n + 1]] = 1 << bits
+        out.append(bucket)
+    return out, owner, places
+
+
+def n_grams(places: np.ndarray) -> np.ndarray:
+    """How many n-grams texts with so many places have."""
+    return sum(np.maximum(places - n + 1, 0) for n in ORDERS)
 
 
 def _sample(docs: DataFrame, train_docs: int) -> DataFrame:
@@ -71,57 +92,59 @@ def _sample(docs: DataFrame, train_docs: int) -> DataFrame:
     return sample_fraction(usable, "doc_id", usable.count(), train_docs).select("lang", "text")
 
 
-def fit(docs: DataFrame, bits: int = 16, train_docs: int = 20_000, smoothing: float = 0.1) -> Model:
+def fit(docs: DataFrame, bits: int = 16, train_docs: int = 20_000, smoothing: float = 0.1, most_languages: int = 512) -> Model:
     """Learn from rows with a text and a language: all, or about ``train_docs`` of them, chosen by a hash of the id.
 
     Each task adds up its counts, so that what is shuffled and collected is
     bounded by buckets x languages for each task and in all.
     """
     sample = _sample(docs, train_docs)
+    common = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages)
+    langs = sorted(r["lang"] for r in common.collect())
+    kind = pa.schema([("lang", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] = {}
-        docs_: dict[str, int] = {}
+        place = {x: k for k, x in enumerate(langs)}
+        held: dict[int, np.ndarray] = {}  # the last place counts documents
 
         def out() -> Iterator[pa.RecordBatch]:
             for lang, n in held.items():
                 k = np.flatnonzero(n)
-                yield pa.RecordBatch.from_pydict({"lang": [lang] * (len(k) + 1), "bucket": np.append(k, -1), "n": np.append(n[k], docs_[lang])}, schema=kind)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), lang, dtype=np.int32)), pa.array(k.astype(np.int32)), pa.array(n[k])], schema=kind)
             held.clear()
-            docs_.clear()
 
-        kind = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("n", pa.int64())])
-        for batch in slices(batches):
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if (found := grams(text, bits)) is None:
-                    continue
+        for batch in slices(batches, size=1 << 20):
+            known = [(place[a], b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if a in place]
+            for lang in sorted({a for a, _ in known}):
+                orders, _, places = grams([b for a, b in known if a == lang], bits)
                 if lang not in held and len(held) >= 64:
                     yield from out()
-                held.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
-                held[lang] += np.bincount(found, minlength=1 << bits)
-                docs_[lang] = docs_.get(lang, 0) + 1
+                n = held.setdefault(lang, np.zeros((1 << bits) + 1, dtype=np.int64))
+                for bucket in orders:
+                    n[: 1 << bits] += np.bincount(bucket, minlength=(1 << bits) + 1)[: 1 << bits]
+                n[-1] += np.count_nonzero(places)
         yield from out()
 
-    totals = sample.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(totals["lang"].unique())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; the model is made for {MOST_LANGUAGES}")
-    counts = np.zeros((1 << bits, len(langs)))
-    prior = np.zeros(len(langs))
-    column = totals["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(dtype=np.int64, na_value=0)
-    bucket, n = totals["bucket"].to_numpy(dtype=np.int64), totals["n"].to_numpy(dtype=np.float64)
-    prior[column[bucket < 0]] = n[bucket < 0]
-    counts[bucket[bucket >= 0], column[bucket >= 0]] = n[bucket >= 0]
+    totals = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros(((1 << bits) + 1, len(langs)))
+    counts[totals["bucket"].to_numpy(dtype=np.int64), totals["lang"].to_numpy(dtype=np.int64)] = totals["n"].to_numpy(dtype=np.float64)
+    prior = counts[-1]
+    langs, counts, prior = [x for x, n in zip(langs, prior) if n], counts[:-1, prior > 0], prior[prior > 0]
     # a bucket's smoothing follows how common it is in all languages: rare ones say little
     share = (counts.sum(axis=1, keepdims=True) + 1) / (counts.sum() + (1 << bits))
     weight = smoothing * (1 << bits)
     probability = (counts + weight * share) / (counts.sum(axis=0, keepdims=True) + weight)
-    return Model(langs, np.log(prior / max(prior.sum(), 1)), np.log(probability).astype(np.float32), bits, counts.sum(axis=0) + weight, weight * share[:, 0])
+    logs = np.concatenate([np.log(probability), np.zeros((1, len(langs)))]).astype(np.float32)  # the last row: no n-gram
+    return Model(langs, np.log(prior / max(prior.sum(), 1)), logs, bits, counts.sum(axis=0) + weight, weight * share[:, 0])
 
 
-def without(model: Model, lang: str, found: np.ndarray) -> float:
-    """The evidence for ``lang`` of a training text, had it not been learned."""
-    k = model.langs.index(lang)
+def without(model: Model, lang: str, text: str) -> float | None:
+    """The evidence for ``lang`` of a training text, had it not been learned; None without a letter."""
+    orders, _, places = grams([text], model.bits)
+    found, k = np.concatenate(orders), model.langs.index(lang)
+    found = found[found < 1 << model.bits]
+    if not places[0]:
+        return None
     bucket, n = np.unique(found, return_counts=True)
     others = np.maximum(np.exp(model.table[bucket, k].astype(np.float64)) * model.total[k] - n, model.least[bucket])
     return float(n @ np.log(others / max(model.total[k] - len(found), 1)) / len(found))
@@ -129,45 +152,58 @@ def without(model: Model, lang: str, found: np.ndarray) -> float:
 
 def usual(docs: DataFrame, model: Model, train_docs: int = 20_000) -> dict[str, float]:
     """By language, the median evidence of the texts that ``fit`` learned from, each without itself.  At most about ``train_docs`` numbers are collected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     kind = pa.schema([("lang", pa.string()), ("evidence", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            rows = [(lang, found) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if (found := grams(text, shared.value.bits)) is not None]
-            yield pa.RecordBatch.from_pydict({"lang": [x for x, _ in rows], "evidence": [without(shared.value, *x) for x in rows]}, schema=kind)
+            known = [(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if a in shared.value.langs]
+            rows = [(a, x) for a, b in known if (x := without(shared.value, a, b)) is not None]
+            yield pa.RecordBatch.from_pydict({"lang": [x for x, _ in rows], "evidence": [x for _, x in rows]}, schema=kind)
 
     found = _sample(docs, train_docs).mapInArrow(run, "lang string, evidence double").toPandas()
     return {str(k): float(v) for k, v in found.groupby("lang")["evidence"].median().items()}
 
 
-def judge(model: Model, text: str | None) -> tuple[str, float, float]:
-    """The predicted language, its posterior and the evidence for it, -inf for ``und``."""
-    found = grams(text, model.bits) if text and model.langs else None
-    if found is None:
-        return UNKNOWN, 0.0, -np.inf
-    if len(found) > len(model.table) // 4:  # as counts, once a text fills many buckets
-        x = np.bincount(found, minlength=len(model.table)) @ model.table.astype(np.float64)
-    else:
-        x = model.table[found].sum(axis=0, dtype=np.float64)
-    y = x + model.prior
-    k = int(y.argmax())
-    return model.langs[k], float(1 / np.exp(y - y[k]).sum()), float(x[k] / len(found))
+def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """For each text the predicted language, its posterior and the evidence for it, -inf for ``und``."""
+    langs, score, evidence = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), -np.inf)
+    rows = [k for k, x in enumerate(texts) if x]
+    if not rows or not model.langs:
+        return langs, score, evidence
+    orders, owner, places = grams([texts[k] for k in rows], model.bits)
+    sums = np.zeros((len(rows), len(model.langs)))
+    block = max(1024, 4 * BLOCK // (4 + len(model.langs)))
+    for at in range(0, len(owner), block):
+        own = owner[at : at + block]
+        edges = np.flatnonzero(np.diff(own, prepend=-1))
+        for bucket in orders:
+            sums[own[edges]] += np.add.reduceat(model.table[bucket[at : at + block]], edges, axis=0, dtype=np.float64)
+    y = sums + model.prior
+    best = y.argmax(axis=1)
+    posterior = 1 / np.exp(y - y.max(axis=1, keepdims=True)).sum(axis=1)
+    each = sums[np.arange(len(rows)), best] / np.maximum(n_grams(places), 1)
+    for r in np.flatnonzero(places):
+        langs[rows[r]] = model.langs[best[r]]
+        score[rows[r]], evidence[rows[r]] = posterior[r], each[r]
+    return langs, score, evidence
 
 
 def predict(model: Model, text: str | None) -> tuple[str, float]:
-    return judge(model, text)[:2]
+    langs, score, _ = judge(model, [text])
+    return langs[0], float(score[0])
 
 
 def identify(spark: SparkSession, model: Model, text: Column) -> Column:
     """A column with the predicted language, its score and the evidence for it, struct(lang_pred, score, evidence)."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = share(spark, model)
 
     @F.pandas_udf("lang_pred string, score double, evidence double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([judge(shared.value, x) for x in part], columns=["lang_pred", "score", "evidence"])
-        give_back()
+            texts = pa.RecordBatch.from_arrays([pa.array(part, pa.string())], ["text"])
+            found = [judge(shared.value, x.column(0).to_pylist()) for x in slices(iter([texts]), size=1 << 20)]
+            yield pd.DataFrame({"lang_pred": [x for f in found for x in f[0]], "score": np.concatenate([np.empty(0), *(f[1] for f in found)]), "evidence": np.concatenate([np.empty(0), *(f[2] for f in found)])})
 
     return score.asNondeterministic()(text)  # never evaluated twice
 
@@ -181,6 +217,7 @@ def train_rows(docs: DataFrame) -> DataFrame:
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(train_rows(docs))
     found = docs.select("doc_id", held_out().alias("held_out"), identify(spark, model, F.col("text")).alias("p"))
