@@ -5,10 +5,13 @@ that the first columns are a fair sample of a distance.  An inverted file deals
 to lists by the nearest of some centroids, which are fitted to a bounded sample.
 How many lists a query probes is chosen on that sample, for the target recall.
 
-Search.  Within each probed list distances grow by blocks of columns.  After each
-block a hypothesis test abandons a candidate whose partial distance, scaled up,
-exceeds the query's bound by more than chance allows.  Survivors are scored on the
-original vectors, in double precision.
+Search.  A cell of a list holds its rotated vectors as blocks of columns, and is scanned
+for a block of queries at once.  Distances grow block by block.  After each block the
+nearest candidates so far, measured in full, tighten each query's bound, and
+a hypothesis test abandons a candidate whose partial distance, scaled up,
+exceeds the bound by more than chance allows.  Every query's nearest list is scanned
+first; what it finds there bounds the search of its other lists from the start.  Survivors are
+scored on the original vectors, in double precision.
 
 Equal vectors are one candidate with its ``k + 1`` least ids, so thousands of copies
 cost no more than one; equal queries are searched once.  Lists are cut into cells of
@@ -18,7 +21,9 @@ list.
 Vectors that are NULL, zero, or hold NULL or non-finite components take no part, nor
 do rows without an id, nor those of another dimension than most have (ties: the
 smaller).  A row that repeats an id and a vector counts once; an id with several
-vectors is searched with each, and found by its best one.
+vectors is searched with each, and found by its best one.  Of candidates with equal
+scores the smaller ids are returned.  Other columns play no part; an empty table, or one without
+a usable vector, gives an empty result.  Any dimension will do: a vector is read as a whole.
 """
 
 from __future__ import annotations
@@ -35,6 +40,8 @@ from pyspark.sql import functions as F
 
 from findery.llm.common import Scratch, sample_fraction, table
 
+SALTS = 16
+
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -42,9 +49,9 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Of each row of x with y, on original values in double precision."""
-    x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max()
-    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum()))
+    """Of each row of x with that of y, on original values in double precision."""
+    x, y = (z / np.abs(z).max(axis=1, keepdims=True) for z in (x, y))
+    return (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
@@ -83,39 +90,88 @@ def fit(sample: np.ndarray, rows: int, k: int, recall: float, lists: int | None
     return Index(centroids, probes, rotation(x.shape[1], seed))
 
 
-def scan(vectors: np.ndarray, query: np.ndarray, k: int, block: int = 16, doubt: float = 2.1) -> np.ndarray:
-    """Rows that may be among the k nearest of rotated unit vectors; the others were abandoned from partial distances."""
-    n, dim = vectors.shape
-    seed = min(n, 4 * k)
-    bound = np.partition(((vectors[:seed] - query) ** 2).sum(axis=1), min(k, seed) - 1)[min(k, seed) - 1] if seed >= k else np.inf
-    alive, partial, at = np.arange(seed, n), np.zeros(n - seed), 0
-    while at < dim and len(alive):
-        end = min(dim, at + block)
-        d = vectors[alive, at:end] - query[at:end]
-        partial = partial + (d * d).sum(axis=1)
-        # H0: the full distance is within the bound; rejected where the scaled partial one is too far off
-        limit = bound * (1 + doubt / np.sqrt(end)) ** 2 if end < dim else bound + 1e-12
-        keep = partial * (dim / end) <= limit
-        alive, partial, at = alive[keep], partial[keep], end
-    return np.concatenate([np.arange(seed), alive])
+def _full(columns: list[np.ndarray], turned: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs (query, vector)."""
+    out, at = np.zeros(len(q)), 0
+    for x in columns:
+        d = x[:, v] - turned[q, at : at + len(x)].T
+        out += np.einsum("ij,ij->j", d, d)
+        at += len(x)
+    return out
 
 
-def _search_cell(rotate: np.ndarray, k: int):
+def scan(columns: list[np.ndarray], turned: np.ndarray, bounds: np.ndarray, k: int, doubt: float = 2.1) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs (query, vector) that may be among each query's k nearest, and how many pairs were left after the first block.
+
+    ``columns``: blocks of columns of the cell's rotated unit vectors, (columns in the block) x vectors; ``turned``: the
+    rotated queries; ``bounds``: squared distances that a query's k nearest are known not to exceed (infinite if unknown).
+    """
+    n, dim, bounds = columns[0].shape[1], turned.shape[1], bounds.copy()
+    first = columns[0]
+    end = len(first)
+    # the first block for all pairs, as one product
+    near = (turned[:, :end] ** 2).sum(axis=1)[:, None] + (first**2).sum(axis=0) - 2 * (turned[:, :end] @ first)
+    if n > k:
+        lead = np.argpartition(near, k - 1, axis=1)[:, :k]
+    else:
+        lead = np.broadcast_to(np.arange(n), (len(turned), n))
+    if lead.shape[1] == k:
+        whole = _full(columns, turned, np.repeat(np.arange(len(turned)), k), lead.ravel()).reshape(-1, k)
+        bounds = np.minimum(bounds, whole.max(axis=1))
+
+    def limit(end: int) -> np.ndarray:
+        # H0: the full distance is within the bound; rejected where the scaled partial one is too far off
+        return bounds * (end / dim) * (1 + doubt / np.sqrt(end)) ** 2 if end < dim else bounds + 1e-9
+
+    q, v = np.nonzero(near <= limit(end)[:, None] + 1e-12)
+    partial, begun = near[q, v], len(q)
+    for x in columns[1:]:
+        d = x[:, v] - turned[q, end : end + len(x)].T
+        partial = partial + np.einsum("ij,ij->j", d, d)
+        end += len(x)
+        if end < dim and len(q) > 4 * k * len(turned):  # many are left: measure the leaders in full
+            order = np.lexsort((partial, q))
+            starts = np.searchsorted(q[order], np.arange(len(turned)))
+            place = np.arange(len(q)) - starts[q[order]]
+            lead = order[place < k]
+            whole = _full(columns, turned, q[lead], v[lead])
+            worst = np.zeros(len(turned))
+            np.maximum.at(worst, q[lead], whole)
+            bounds = np.where(np.bincount(q[lead], minlength=len(turned)) == k, np.minimum(bounds, worst), bounds)
+        keep = partial <= limit(end)[q]
+        q, v, partial = q[keep], v[keep], partial[keep]
+    return q, v, begun
+
+
+def in_columns(rotated: np.ndarray, block: int = 16) -> list[np.ndarray]:
+    return [np.ascontiguousarray(rotated[:, i : i + block].T) for i in range(0, rotated.shape[1], block)]
+
+
+def _search_cell(rotate: np.ndarray, k: int, pairs: int = 1 << 20):
     def run(key: tuple, vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        rows: list[tuple[int, int, float]] = []
+        qids, found, scores = [], [], []
         if len(vectors) and len(queries):
             x = np.stack([np.frombuffer(v, dtype=np.float64) for v in vectors["vec"]])
-            turned = unit(x) @ rotate
-            ids = vectors["ids"].tolist()
-            for qid, raw in zip(queries["qid"], queries["vec"]):
-                q = np.frombuffer(raw, dtype=np.float64)
-                near = scan(turned, (unit(q[None]) @ rotate)[0], k)
-                score = cosine(x[near], q)
-                top = np.argsort(-score, kind="stable")
-                least = score[top[min(k, len(top)) - 1]]
-                found = sorted((-score[j], int(i)) for j in top[score[top] >= least] for i in ids[near[j]])
-                rows += [(int(qid), i, -s) for s, i in found[:k]]
-        return pd.DataFrame(rows, columns=["qid", "vec_id", "score"])
+            asked = np.stack([np.frombuffer(v, dtype=np.float64) for v in queries["vec"]])
+            columns, ids, known = in_columns(unit(x) @ rotate), vectors["ids"].tolist(), queries["bound"].to_numpy(dtype=np.float64)
+            names = queries["qid"].tolist()
+            step = max(1, pairs // len(x))
+            for at in range(0, len(asked), step):
+                part = asked[at : at + step]
+                q, v, _ = scan(columns, unit(part) @ rotate, known[at : at + step], k)
+                score = cosine(x[v], part[q]) if len(q) else np.zeros(0)
+                order = np.lexsort((-score, q))
+                edges = np.searchsorted(q[order], np.arange(len(part) + 1))
+                for r in range(len(part)):
+                    top = order[edges[r] : edges[r + 1]]
+                    if not len(top):
+                        continue
+                    top = top[score[top] >= score[top[min(k, len(top)) - 1]]]
+                    best = sorted((-score[j], int(i)) for j in top for i in ids[v[j]])[:k]
+                    qids += [int(names[at + r])] * len(best)
+                    found += [i for _, i in best]
+                    scores += [-s for s, _ in best]
+        return pd.DataFrame({"qid": np.array(qids, dtype=np.int64), "vec_id": np.array(found, dtype=np.int64), "score": np.array(scores, dtype=np.float64)})
 
     return run
 
@@ -148,7 +204,8 @@ def search(
     order = W.partitionBy("vec").orderBy("vec_id")
     few = usable.withColumn("nth", F.dense_rank().over(order)).filter(F.col("nth") <= k + 1)
     classes = few.groupBy("vec").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
-    sample = np.array([r["vec"] for r in sample_fraction(usable, "vec_id", dims["count"], sample_rows).select("vec").collect()])
+    drawn = sample_fraction(usable, "vec", dims["count"], sample_rows).select("vec").distinct().limit(2 * sample_rows).collect()
+    sample = np.array([r["vec"] for r in drawn or usable.select("vec").limit(sample_rows).collect()])
     index = fit(np.unique(sample, axis=0), dims["count"], k, recall)
     shared = spark.sparkContext.broadcast(index)  # bounded: 4096 lists
 
@@ -173,18 +230,19 @@ def search(
             order = np.argsort(-(unit(x) @ shared.value.centroids.T), axis=1, kind="stable")
             # at least the chosen number of lists, and enough of them to hold 4 k vectors
             enough = (np.cumsum(sizes[order], axis=1) < 4 * k).sum(axis=1) + 1
-            rows, lists, subs = [], [], []
+            rows, lists, subs, nths = [], [], [], []
             for r, n in enumerate(np.maximum(enough, shared.value.probes)):
-                for c in order[r, :n]:
+                for nth, c in enumerate(order[r, :n]):
                     for s in range(cells[c]):
                         rows.append(r)
                         lists.append(c)
                         subs.append(s)
+                        nths.append(nth)
             take = pa.array(rows, pa.int64())
             packed = pa.array([v.tobytes() for v in x], pa.binary()).take(take)
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(subs, pa.int32()), batch.column("qid").take(take), packed], ["list", "sub", "qid", "vec"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), pa.array(subs, pa.int32()), pa.array(nths, pa.int32()), batch.column("qid").take(take), packed], ["list", "sub", "nth", "qid", "vec"])
 
-    probed = scratch.keep(distinct.mapInArrow(probe, "list int, sub int, qid long, vec binary"), "probed")
+    probed = scratch.keep(distinct.mapInArrow(probe, "list int, sub int, nth int, qid long, vec binary"), "probed")
     asked = np.zeros(len(sizes), dtype=np.int64)
     for row in probed.filter("sub = 0").groupBy("list").count().collect():
         asked[row["list"]] = row["count"]
@@ -192,14 +250,25 @@ def search(
     plan = spark.createDataFrame([(i, int(c), int(b)) for i, (c, b) in enumerate(zip(cells, blocks))], "list int, cells int, blocks int")
     bounded = F.broadcast(plan)  # a row for each list
     left = listed.join(bounded, "list").select("list", F.pmod(F.xxhash64("vec"), "cells").cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "ids", "vec")
-    right = probed.join(bounded, "list").select("list", "sub", F.pmod(F.xxhash64("qid"), "blocks").cast("int").alias("part"), "qid", "vec")
+    right = probed.join(bounded, "list").select("list", "sub", F.pmod(F.xxhash64("qid"), "blocks").cast("int").alias("part"), "nth", "qid", "vec")
     keys = ["list", "sub", "part"]
-    near = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(_search_cell(index.rotate, k + 1), "qid long, vec_id long, score double")
     best = W.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+
+    def searched(asked: DataFrame) -> DataFrame:
+        return left.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(_search_cell(index.rotate, k + 1), "qid long, vec_id long, score double")
+
+    # each query's nearest list, then the others within the bound that it gave: the distance of the (k + 1)th found
+    first = scratch.keep(searched(right.filter("nth = 0").withColumn("bound", F.lit(float("inf")))), "first")
+    known = first.withColumn("r", F.row_number().over(best)).filter(F.col("r") == k + 1).select("qid", (2 - 2 * F.col("score") + 1e-9).alias("bound"))
+    others = right.filter("nth > 0").join(known, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+    near = first.unionByName(searched(others))
     near = near.groupBy("qid", "vec_id").agg(F.max("score").alias("score")).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k + 1)
-    # back to every query with that vector
-    of = queries.join(distinct, "vec").select(F.col("vec_id").alias("query_id"), "qid").distinct()
-    pairs = of.join(near, "qid").filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    near = scratch.keep(near.select("qid", "vec_id", "score"), "near")
+    # back to every query with that vector; salted, as one vector may be that of a third of them
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)).cast("int").alias("salt")
+    of = queries.select("vec_id", "vec", salt).join(distinct.select("vec", "qid", salts), ["vec", "salt"]).select(F.col("vec_id").alias("query_id"), "qid", "salt").distinct()
+    pairs = of.join(near.select("*", salts), ["qid", "salt"]).filter("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     final = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(final).cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
