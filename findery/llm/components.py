@@ -2,12 +2,16 @@
 
 Each round replaces the edges by smaller stars around the least neighbour; the
 number of edges never grows beyond a small multiple and the rounds are few
-(logarithmic in practice).  Every round is written to the shared folder, which cuts
-the lineage; nothing but counts reaches the driver.
+(logarithmic in practice).  Rounds go on until nothing changes, however many that
+takes.  Every round is written to the shared folder, which cuts
+the lineage; nothing but counts reaches the driver.  Joins on a star's root, which may have
+very many edges, are sort-merge joins of which AQE splits what is uneven.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +25,22 @@ def _least(edges: DataFrame) -> DataFrame:
     return both.join(least, "a")
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node that has an edge; ``edges`` has columns u and v.  The root is the least node."""
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, root) for every node that has an edge; ``edges`` has columns u and v.  The root is the least node.
+
+    No edges give no rows; repeated edges and those from a node to itself change nothing.
+    """
     now = scratch.keep(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
-    for _ in range(most_rounds):
+    for _ in itertools.count():
         large = _least(now).filter("b > a").select(F.col("b").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         # small star: each node's smaller neighbours go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = scratch.keep(small.filter("u <> v").distinct(), "edges")
+        last, now = now, scratch.keep(small.filter("u <> v").distinct(), "edges")
+        scratch.drop(last)
         was, mark = mark, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if was == mark:
             return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-    raise RuntimeError("the components did not settle")

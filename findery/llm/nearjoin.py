@@ -12,9 +12,10 @@ the number of other documents it is linked to, copies included.
    are shuffled; only buckets with two nodes or more matter, and of buckets with
    the same members one.
 3. A bucket's texts are compared within one task, on their full n-gram sets, by
-   products of membership matrices.  A bucket larger than ``tile`` is dealt in
-   tiles, and each pair of tiles is a task of its own, so that no task's memory
-   grows with a bucket.  A pair that shares several buckets is counted in the
+   products of membership matrices.  A bucket with more than ``tile`` texts, or more than
+   ``tile_words`` words, is dealt in
+   tiles, and each pair of tiles is a group of its own, so that no task's memory
+   grows with a bucket, nor with the texts in it but for a single one.  A pair that shares several buckets is counted in the
    first only.  No pairs leave the task: just each node's number of links, and a
    forest of edges that connects what is linked.  So no cap is set on partners.
 4. Components of these edges.
@@ -22,7 +23,9 @@ the number of other documents it is linked to, copies included.
 Nulls and oddities: texts that are NULL or have no words have no n-grams and are
 linked to nothing; each is a class of its own.  Rows with a NULL id are not
 returned and link nothing.  Rows that repeat an id are rows of their own, with the same class
-if their texts are linked.
+if their texts are linked.  A similarity equal to the threshold is a link.  An empty table gives an
+empty result.  Columns besides ``doc_id`` and ``text`` play no part.  A text of any
+length is compared whole; a task holds the word hashes (8 bytes each) of two tiles.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm import codepoints as cp
-from findery.llm.common import Scratch, slices, table
+from findery.llm.common import Scratch, bounded_batches, slices, table
 from findery.llm.components import components
 
 
@@ -77,19 +80,20 @@ class Signer:
 
 
 def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, node, bands): no band hashes where there are no words."""
+    """(doc_id, node, n_words, bands): no band hashes where there are no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = Signer(bands, rows)
         for batch in slices(batches):
-            nodes, found = [], []
+            nodes, sizes, found = [], [], []
             for text in batch.column(1).to_pylist():
                 h = cp.Words(text).hashes if text else ()
                 nodes.append(node_key(h) if len(h) else None)
+                sizes.append(len(h))
                 found.append(signer(cp.shingles(h, width)) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "node", "n_words", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node binary, n_words long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], split: int, threshold: float) -> np.ndarray:
@@ -194,7 +198,7 @@ def words_of(docs: DataFrame) -> DataFrame:
 
 
 def near_classes(
-    docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, most_hashes: int = 128, tile: int = 512, scratch: Scratch | None = None
+    docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, most_hashes: int = 128, tile: int = 256, tile_words: int = 1 << 19, scratch: Scratch | None = None
 ) -> DataFrame:
     """(doc_id, class_id, n_links), a row for each row of ``docs`` with an id."""
     scratch = scratch or Scratch(docs.sparkSession)
@@ -204,28 +208,30 @@ def near_classes(
     nodes = (
         signed.filter(F.col("node").isNotNull())
         .groupBy("node")
-        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
+        .agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("bands").alias("bands"))
     )
     nodes = scratch.keep(nodes, "nodes")
-    in_bucket = nodes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    in_bucket = nodes.select("node", "n_words", F.explode(F.array_distinct("bands")).alias("bucket"))
     same = [F.bit_xor(F.xxhash64(F.lit(k), F.col("node"))).alias(f"x{k}") for k in (1, 2)]
-    buckets = in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), *same).filter("n > 1")
+    buckets = in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), *same).filter("n > 1")
     # buckets with the same members find the same links: the least stands for all
-    buckets = scratch.keep(buckets.groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
-    members = scratch.keep(in_bucket.join(buckets, "bucket"), "members")
+    buckets = scratch.keep(buckets.groupBy("n", "words", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "words"), "buckets")
+    members = scratch.keep(in_bucket.drop("n_words").join(buckets, "bucket"), "members")
+    scratch.drop(buckets)
     of_node = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # at most one for each band
     found = nodes.select("node", "copies", "first_id").join(of_node, "node")
     # one row of the documents for each such node; its text once more
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     texts = words_of(texts.filter(F.col("text").isNotNull())).dropDuplicates(["node"])
     full = found.select("node", "copies", "buckets").join(texts, "node")
-    tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
+    tiles = F.greatest(F.ceil(F.col("n") / F.lit(tile)), F.ceil(F.col("words") / F.lit(tile_words))).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     pairs = members.withColumn("t", tiles).withColumn("k", own).select(
         "node", "bucket", F.explode(F.transform(F.sequence(F.lit(0), F.col("t") - 1), lambda x: F.struct(F.least(x, "k").alias("i"), F.greatest(x, "k").alias("j"), (F.col("k") > x).cast("int").alias("side")))).alias("p")
     )
     work = pairs.select("node", "bucket", "p.*").join(full, "node")
     out = scratch.keep(work.groupBy("bucket", "i", "j").applyInPandas(_compare(threshold, width), "u binary, v binary, links long"), "links")
+    scratch.drop(members)
     links = out.filter(F.col("v").isNull()).groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(out.filter(F.col("v").isNotNull()).select("u", "v"), scratch)
     classes = (
@@ -242,4 +248,5 @@ def near_classes(
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return near_classes(table(spark, sf_dir, "documents"))
