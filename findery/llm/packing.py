@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from findery.llm.common import Scratch, slices, table
+from findery.llm.common import Scratch, bounded_batches, share, slices, table
 from findery.llm.tokens import default_tokenizer, encoder, ids_crc32, read_spec
 
 PIECE = "doc_id long, piece int, start long, length int, ids_crc32 long, chunk int, ordinal long"
@@ -199,7 +199,7 @@ def runs(made: list[tuple[int, dict[int, int]]], capacity: int) -> dict[str, np.
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
     """Every document's pieces; ``ordinal`` numbers a task's (``chunk``'s) pieces of one length."""
-    spec = docs.sparkSession.sparkContext.broadcast(read_spec(tokenizer))
+    spec = share(docs.sparkSession, read_spec(tokenizer))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, chunk = encoder(spec.value), TaskContext.get().partitionId()
@@ -224,8 +224,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, scratch: Scratch | None = None) -> DataFrame:
     """Every piece of every document with its sequence and offset.
 
-    Rows with a NULL or repeated ``doc_id`` are documents of their own and keep the
-    id they have; a NULL text is empty; no documents give no rows.  The pieces are
+    Rows with a NULL or repeated ``doc_id``, and repeated rows, are documents of their own and keep the
+    id they have; a NULL text is empty, a long one is cut into pieces and never shortened; no documents give no
+    rows; columns besides ``doc_id`` and ``text`` play no part.  Pieces of equal length are interchangeable:
+    which of them takes which place depends on how the input is split into tasks.  The pieces are
     written once to the shared folder, since their task-wise numbers must not
     change; the driver gets at most ``capacity`` counts, and the broadcast plan is
     bounded by the capacity, not by the corpus.
@@ -239,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for row in by_chunk.groupBy("length").agg(F.sum("n").alias("n")).collect():
         counts[row["length"]] = row["n"]
-    laid = spark.sparkContext.broadcast(runs(best_plan(counts, capacity), capacity))
+    laid = share(spark, runs(best_plan(counts, capacity), capacity))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = laid.value
@@ -254,10 +256,12 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
             kept[3] = kept[3].cast(pa.int64())
             yield pa.RecordBatch.from_arrays([*kept, pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    ranked = cut.join(by_chunk.drop("n"), ["chunk", "length"]).withColumn("rank", F.col("base") + F.col("ordinal"))
+    # a row for each task and length: it grows with the corpus, so it is never broadcast
+    ranked = cut.join(by_chunk.drop("n").hint("merge"), ["chunk", "length"]).withColumn("rank", F.col("base") + F.col("ordinal"))
     kind = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, kind)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return pack(table(spark, sf_dir, "documents"), default_tokenizer())
