@@ -10,6 +10,9 @@ Turns are ordered by (turn, role, text), nulls first; rows without a ``conv_id``
 belong to no conversation.  A NULL role is rendered as ``unknown``, a NULL text as
 empty; they count as different from those words when turns are compared.  Marks of
 the template within a text are broken up by a space, so they can't end a turn.
+Repeated rows are turns of their own, and count when conversations are compared; turns of
+any length are hashed and rendered whole.  Other columns play no part; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations

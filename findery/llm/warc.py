@@ -13,8 +13,8 @@ a semi-join with the differing parents.
 
 ``serialise`` makes WARC/1.0 response records of pages and lays them out in
 archives of ``PAGES`` pages by id, in order of (page_id, url, digest), nulls first.
-Pages without an id are dealt to archives of their own by a hash.  A NULL url or
-html is empty.  ``read_warc`` makes the index of WARC files that exist.
+Pages without an id are dealt by a hash to archives of their own, of about ``PAGES`` each.  A NULL url or
+html is empty.  Pages that repeat an id, and repeated pages, are records of their own.  ``read_warc`` makes the index of WARC files that exist.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import itertools
 import re
 import zlib
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyarrow.fs import FileSystem
@@ -47,9 +48,11 @@ def record_bytes(page_id: Column, url: Column, html: Column) -> Column:
 def serialise(pages: DataFrame, *more: Column) -> DataFrame:
     """(archive, page_id, url, length, digest, ..., offset): the index of the archives that hold the pages.
 
-    Bodies become lengths and digests before anything is shuffled.
+    Bodies become lengths and digests before anything is shuffled, whatever their size.  Columns
+    besides page_id, url and html are not looked at.
     """
-    lost = -1 - F.pmod(F.xxhash64("url", "html"), F.lit(1024))
+    without = pages.filter(F.col("page_id").isNull()).count()
+    lost = -1 - F.pmod(F.xxhash64("url", "html"), F.lit(max(1024, without // PAGES)))
     archive = F.coalesce(F.floor(F.col("page_id") / PAGES), lost).cast("long").alias("archive")
     record = record_bytes(F.col("page_id"), F.col("url"), F.col("html"))
     sized = pages.select(archive, "page_id", "url", F.octet_length(record).cast("long").alias("length"), F.sha2(record.cast("binary"), 256).alias("digest"), *more)
@@ -135,10 +138,13 @@ def read_warc(spark: SparkSession, paths: str, tasks: int | None = None) -> Data
     """(archive, page_id, offset, length, digest) of every record of the WARC files, plain or gzipped, that ``paths`` names.
 
     Each file is read once, as a stream in one task, through pyarrow's filesystems;
-    memory does not grow with files or records.  ``archive`` is the file's name,
-    so replicas in two folders can be audited against each other; ``page_id`` is NULL.
+    memory does not grow with files or records.  ``archive`` is the file's path below the folder
+    that ``paths`` names (of a pattern, the part before the first wildcard), so replicas in two
+    folders can be audited against each other; ``page_id`` is NULL.
     """
-    files = spark.read.format("binaryFile").load(paths).select("path")  # the content is not read
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path")  # the content is not read
+    plain = re.split(r"[*?\[{]", urlsplit(paths).path, maxsplit=1)
+    root = (plain[0] if len(plain) == 1 else plain[0].rpartition("/")[0]).rstrip("/") + "/"
     schema = pa.schema([("archive", pa.string()), ("page_id", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("digest", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +155,7 @@ def read_warc(spark: SparkSession, paths: str, tasks: int | None = None) -> Data
                 parts = itertools.chain([first], iter(lambda: f.read(READ), b"")) if first else iter(())
                 found = member_bounds(parts) if first.startswith(b"\x1f\x8b") else record_bounds(parts)
                 while rows := list(itertools.islice(found, 10_000)):
-                    archive = [name.rsplit("/", 1)[-1]] * len(rows)
+                    archive = [name.removeprefix(root) if name != root[:-1] else name.rsplit("/", 1)[-1]] * len(rows)
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([archive, [None] * len(rows), *map(list, zip(*rows))], schema)], schema=schema)
 
     return files.repartition(tasks or spark.sparkContext.defaultParallelism, "path").mapInArrow(run, "archive string, page_id long, offset long, length long, digest string")
@@ -179,8 +185,11 @@ def height_for(*replicas: DataFrame) -> int:
 def audit(primary: DataFrame, replica: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(archive, page_id, offset, length, verdict, digest, replica_digest): the records that differ.
 
-    Both have archive, page_id, offset, length, digest.  ``verdict``: corrupt, missing
-    (in the replica) or extra.  Equal replicas and empty tables give no rows.
+    Both have archive, page_id, offset, length, digest; other columns play no part.  ``verdict``: corrupt, missing
+    (in the replica) or extra.  Records are the same if offset, length and digest are; a
+    record that one replica repeats more often than the other differs too.  There is one row for
+    each archive and offset, NULL being a value like others.  Equal replicas and empty tables give no rows;
+    if only one is empty, each record of the other is missing or extra.
     """
     scratch = scratch or Scratch(primary.sparkSession)
     ours = scratch.keep(primary.select("archive", "page_id", "offset", "length", "digest"), "primary")
@@ -189,25 +198,32 @@ def audit(primary: DataFrame, replica: DataFrame, scratch: Scratch | None = None
     a, b = levels(ours, height, scratch), levels(theirs, height, scratch)
     differing = None
     for k in range(height, 0, -1):
-        x, y = a[k], b[k]
+        sides = [t[k].select("archive", "node", "parent", "digest", F.lit(i).alias("side")) for i, t in enumerate((a, b))]
+        nodes = sides[0].unionByName(sides[1])
         if differing is not None:
-            parents = differing.select("archive", F.col("node").alias("parent"))
-            x, y = x.join(parents, ["archive", "parent"], "left_semi"), y.join(parents, ["archive", "parent"], "left_semi")
-        both = x.select("archive", "node", F.col("digest").alias("d")).join(y.select("archive", "node", F.col("digest").alias("e")), ["archive", "node"], "full")
-        differing = scratch.keep(both.filter(~F.col("d").eqNullSafe(F.col("e"))).select("archive", "node"), f"differing{k}")
-    parents = differing.select("archive", F.col("node").alias("parent"))
-    x, y = (t[0].join(parents, ["archive", "parent"], "left_semi").drop("parent") for t in (a, b))
-    keys = ["archive", "offset"]
-    x = x.select(*keys, *(F.col(c).alias(f"x_{c}") for c in ("page_id", "length", "digest")), F.lit(True).alias("in_x"))
-    y = y.select(*keys, *(F.col(c).alias(f"y_{c}") for c in ("page_id", "length", "digest")), F.lit(True).alias("in_y"))
-    verdict = F.when(F.col("in_y").isNull(), "missing").when(F.col("in_x").isNull(), "extra").otherwise("corrupt")
-    found = x.join(y, keys, "full").filter(~F.col("x_digest").eqNullSafe(F.col("y_digest")))
+            nodes = _below(nodes, differing)
+        digests = [F.max(F.when(F.col("side") == i, F.col("digest"))) for i in (0, 1)]
+        differing = scratch.keep(nodes.groupBy("archive", "node").agg(digests[0].alias("d"), digests[1].alias("e")).filter(~F.col("d").eqNullSafe(F.col("e"))).select("archive", "node"), f"differing{k}")
+    names = ("archive", "page_id", "offset", "length", "digest")
+    sides = [_below(t[0], differing).select(*names, F.lit(i).alias("side")) for i, t in enumerate((a, b))]
+    # records that one replica has more often than the other, then one row for each place
+    held = [F.sum((F.col("side") == i).cast("int")) for i in (0, 1)]
+    odd = sides[0].unionByName(sides[1]).groupBy("archive", "offset", "length", "digest").agg(held[0].alias("n"), held[1].alias("m"), F.min("page_id").alias("page_id")).filter("n <> m")
+    one = F.struct("page_id", "length", "digest")
+    found = odd.groupBy("archive", "offset").agg(F.min(F.when(F.col("n") > F.col("m"), one)).alias("x"), F.min(F.when(F.col("n") < F.col("m"), one)).alias("y"))
+    verdict = F.when(F.col("y").isNull(), "missing").when(F.col("x").isNull(), "extra").otherwise("corrupt")
     return found.select(
-        "archive", F.coalesce("x_page_id", "y_page_id").alias("page_id"), "offset", F.coalesce("x_length", "y_length").alias("length"),
-        verdict.alias("verdict"), F.col("x_digest").alias("digest"), F.col("y_digest").alias("replica_digest"),
+        "archive", F.coalesce("x.page_id", "y.page_id").alias("page_id"), "offset", F.coalesce("x.length", "y.length").alias("length"),
+        verdict.alias("verdict"), F.col("x.digest").alias("digest"), F.col("y.digest").alias("replica_digest"),
     )
 
 
+def _below(nodes: DataFrame, differing: DataFrame) -> DataFrame:
+    """The nodes or records whose parent differs."""
+    same = F.col("x.archive").eqNullSafe(F.col("p.archive")) & F.col("x.parent").eqNullSafe(F.col("p.node"))
+    return nodes.alias("x").join(differing.alias("p"), same, "left_semi")
+
+
 def faulty_digest() -> Column:
     """For trials, the digest of a page's record in a bad replica: by page_id, a wrong first character, an erased body, none (NULL), or the right one."""
     kind = F.pmod(F.col("page_id") * 37, F.lit(101))
