@@ -46,10 +46,9 @@ def test_sql(spark, data, name):
 def test_encoder_equals_library():
     spec = read_spec(default_tokenizer())
     t = Tokenizer.from_str(spec)
-    t.encode_special_tokens = True
     rng = np.random.default_rng(3)
     letters = list("ab Z1 é.,!'\n\t  s%|日本 #\xa0\x01")
-    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)] + ["a  b", "a   b", " a", "<|endoftext|> x", "don't"]
+    texts = ["".join(rng.choice(letters, rng.integers(0, 40))) for _ in range(3000)] + ["a  b", "a   b", " a", "<|endoftext|> x", "a <|endoftext|> b", "x<|endoftext|>", "don't"]
     small = Encoder(spec, max_words=50)
     for e in (Encoder(spec), small):
         got = [x for i in range(0, len(texts), 500) for x in e.encode(texts[i : i + 500])]
@@ -168,29 +167,53 @@ def test_ann(spark):
     assert ann.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
-def test_mixing_bound_and_whole():
-    blocks, weights = {"a": 500, "b": 100, None: 40, "c": 7}, {"a": 5, "b": 3, None: 2, "c": 1}
-    made = mixing.schedule(blocks, weights)
-    assert [x[0] for x in made] == list(range(647)) and len({(x[1], x[2]) for x in made}) == 647
-    done = dict.fromkeys(blocks, 0)
-    for t, (slot, source, _, phase, release, deadline) in enumerate(made, 1):
-        assert release <= slot < deadline
-        done[source] += 1
-        if phase == 0:
-            assert all(-1 < weights[s] * t / 11 - done[s] < 1 for s in blocks)
-
-
-def test_mixing_phase_ends_when_an_empty_source_is_due():
-    made = mixing.schedule(dict.fromkeys("abc", 1), dict.fromkeys("abc", 1))
-    assert [x[1] for x in made] == ["a", "b", "c"] and {x[3] for x in made} == {0}
-    made = mixing.schedule({"a": 9, "b": 2}, {"a": 1, "b": 1})
-    assert "".join(x[1] for x in made) == "ababaaaaaaa" and [x[3] for x in made] == [0] * 5 + [1] * 6
+def brute_mixture(blocks, weights):
+    """(source, block) in order of an earliest-deadline-first schedule without end, without the blocks that are not there."""
+    total, names, t, out = sum(weights.values()), sorted(weights, key=lambda s: (s is None, s or "")), 0, []
+    begun = dict.fromkeys(names, 0)
+    while len(out) < sum(blocks.values()):
+        free = [s for s in names if begun[s] * total // weights[s] <= t]
+        s = min(free, key=lambda s: (-(-(begun[s] + 1) * total // weights[s]), names.index(s)))
+        if begun[s] < blocks[s]:
+            out.append((s, begun[s]))
+        begun[s] += 1
+        t += 1
+        done = begun.values()
+        assert all(-1 < weights[x] * t / total - n < 1 for x, n in zip(names, done))
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 5, "b": 3, None: 2, "c": 1}, {"a": 1, "b": 1, None: 1, "c": 1}, {"a": 1, "b": 600, None: 7, "c": 33}])
+def test_mixing_equals_a_simulation(spark, weights):
+    sizes = {"a": 50, "b": 31, None: 12, "c": 1}
+    rows = [(None if k % 9 == 0 else k % 40, f"{s} {k % 30}", s) for s, n in sizes.items() for k in range(n)]
+    got = mixing.mix(docs_of(spark, rows), weights, block_docs=3).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(len(rows))) and all(r["release"] <= r["slot"] < r["deadline"] for r in got)
+    found = list(dict.fromkeys((r["source"], r["block"]) for r in got))
+    assert found == brute_mixture({s: -(-n // 3) for s, n in sizes.items()}, weights)
+    assert sorted(str((r["doc_id"], r["source"])) for r in got) == sorted(str((i, s)) for i, _, s in rows)
 
 
 def test_mixing_rows(spark, odd):
     got = mixing.mix(odd, block_docs=2).toPandas()
     assert sorted(got["position"]) == list(range(odd.count()))
     assert mixing.mix(odd.limit(0)).count() == 0
+    late = mixing.mix(odd, {"a": 1}, block_docs=1).orderBy("position").collect()
+    assert [r["source"] == "a" for r in late] == [True] * 4 + [False] * (odd.count() - 4) and [r["late"] for r in late] == [r["source"] != "a" for r in late]
+
+
+def test_mixing_more_sources_than_groups(spark):
+    rows = [(i, "x", f"s{min(i % 97, i % 60)}") for i in range(3000)] + [(i, "y", None) for i in range(300)]
+    got = mixing.mix(docs_of(spark, rows), block_docs=1, groups=8).orderBy("position").toPandas()
+    assert got["position"].tolist() == list(range(3300)) and sorted(got["doc_id"]) == sorted(r[0] for r in rows)
+    share = (got["source"].isna().cumsum() / (got["position"] + 1)).iloc[200:2000]
+    assert share.max() / share.min() < 1.15  # as long as most have documents left, it is even
+
+
+def test_whole_number_weights():
+    assert mixing.whole([10, 20, 30]) == [1, 2, 3] and mixing.whole([0.5]) == [1]
+    rounded = mixing.whole([10**9, 1, 10**9 - 1])
+    assert sum(rounded) in range(16_383, 16_388) and rounded[1] == 1
 
 
 def test_mixture_keeps_every_row_in_schedule_order(spark):
@@ -201,7 +224,7 @@ def test_mixture_keeps_every_row_in_schedule_order(spark):
     key = lambda r: str(r)
     assert sorted(got, key=key) == sorted(rows, key=key)
     place = mixing.mix(docs, block_docs=1).orderBy("position").collect()
-    assert [r[2] for r in got] == [r["source"] for r in place] and place[-1]["phase"] > 0
+    assert [r[2] for r in got] == [r["source"] for r in place] and [r[0] for r in got] == [r["doc_id"] for r in place]
     assert mixing.mixture(docs.limit(0)).count() == 0
 
 
@@ -284,31 +307,94 @@ def test_language_stage_rejects_what_was_not_learned(spark, data):
     assert pipeline.language(spark, docs.limit(0), data).count() == 0
     model = langid.fit(docs)
     k, text = model.langs.index("en"), docs.filter("lang = 'en'").first()["text"]
-    found = langid.grams(text, model.bits)
-    counts = np.exp(model.table[:, k].astype(float)) * model.total[k] - np.bincount(found, minlength=1 << model.bits)
-    assert langid.without(model, "en", found) == pytest.approx(np.log(counts / counts.sum())[found].mean(), rel=1e-3)
+    found = np.concatenate(langid.grams([text], model.bits)[0])
+    found = found[found < 1 << model.bits]
+    counts = np.exp(model.table[:-1, k].astype(float)) * model.total[k] - np.bincount(found, minlength=1 << model.bits)
+    assert langid.without(model, "en", text) == pytest.approx(np.log(counts / counts.sum())[found].mean(), rel=1e-3)
+    assert pipeline.language(spark, docs.withColumn("lang", F.lit(None).cast("string")), data).count() == docs.count()
 
 
-def test_toxicity_lift():
-    base = np.log(0.7 / 0.3)
+def test_language_scores_equal_brute_force(spark, data):
+    """Every text's log-probabilities, n-gram by n-gram in plain Python."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    train = langid.train_rows(docs)
+    model = langid.fit(train)
+    mult, char, mask = int(langid.cp.MULT), int(langid.cp.CHAR), (1 << 64) - 1
+
+    def buckets(text):
+        x = re.sub(r"[\W\d_]+", " ", " " + text.lower())
+        for n in (1, 2, 3):
+            for i in range(len(x) - n + 1):
+                h = 0
+                for c in x[i : i + n]:
+                    h = (h * char + ord(c)) & mask
+                yield ((h + n) * mult & mask) >> (64 - model.bits)
+
+    counts = {k: defaultdict(int) for k in model.langs}
+    rows = {k: 0 for k in model.langs}
+    for r in train.filter("text is not null and lang is not null").collect():
+        if re.search(r"[^\W\d_]", r["text"]):
+            rows[r["lang"]] += 1
+            for b in buckets(r["text"]):
+                counts[r["lang"]][b] += 1
+    every = defaultdict(int)
+    for c in counts.values():
+        for b, n in c.items():
+            every[b] += n
+    total, weight = sum(every.values()), 0.1 * (1 << model.bits)
+
+    def log_of(lang, b):
+        return np.log((counts[lang][b] + weight * (every[b] + 1) / (total + (1 << model.bits))) / (sum_of[lang] + weight))
+
+    sum_of = {k: sum(c.values()) for k, c in counts.items()}
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in llm.QUERIES["op5_language_id"](spark, data).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"] and len(r["text"]) < 1500}
+    assert len(texts) > 20
+    for i, text in texts.items():
+        if not re.search(r"[^\W\d_]", text):
+            assert got[i] == ("und", 0.0)
+            continue
+        y = [np.log(rows[k] / sum(rows.values())) + sum(log_of(k, b) for b in buckets(text)) for k in model.langs]
+        k = int(np.argmax(y))
+        assert got[i][0] == model.langs[k] and got[i][1] == pytest.approx(1 / np.exp(np.array(y) - y[k]).sum(), rel=1e-3)
+
+
+def test_language_of_odd_rows(spark, odd, data):
+    model = langid.fit(spark.read.parquet(f"{data}/documents.parquet"))
+    got = odd.select("doc_id", "text", langid.identify(spark, model, F.col("text")).alias("p")).select("doc_id", "text", "p.*").collect()
+    assert len(got) == odd.count() and {r["lang_pred"] for r in got if not (r["text"] or "").strip()} == {"und"}
+    assert len({(r["lang_pred"], r["score"]) for r in got if r["doc_id"] in (3, 4)}) == 1
+    many = spark.createDataFrame([(i, f"text {i % 700}", f"l{i % 700:03d}") for i in range(2100)] + [(-1, "more", "zz")] * 5, "doc_id long, text string, lang string")
+    few = langid.fit(many, bits=8, most_languages=600)
+    assert len(few.langs) == 600 and "zz" in few.langs and few.langs[:599] == [f"l{i:03d}" for i in range(599)]
+    assert len(langid.fit(many, bits=8, most_languages=1000).langs) == 701
+
+
+def test_toxicity_cut():
     clean, hot = np.array([-3.0, -2, 1.5, -1]), np.array([2.0, 3])
-    assert base + toxicity.lift(np.append(clean, hot), np.array([0, 0, 0, 0, 1, 1])) == pytest.approx(1.75)
-    assert toxicity.lift(np.array([-2.0, 2]), np.array([0, 1])) == 0
+    assert toxicity.cut(np.append(clean, hot), np.array([0, 0, 0, 0, 1, 1])) == pytest.approx(1.75)
+    assert toxicity.cut(np.array([-2.0, 2]), np.array([0, 1])) == 0
+    assert toxicity.cut(np.array([1.0, 1, 1]), np.array([0, 1, 1])) < 1
 
 
 def test_toxicity_gradients_and_learning():
     rng = np.random.default_rng(4)
     net = {k: v.astype(np.float64) for k, v in toxicity.fresh().items()}
-    x = rng.normal(size=(3, toxicity.WINDOW, toxicity.FEATURES))
+    net["E"][:-1] = rng.normal(size=net["E"][:-1].shape)
+    x = rng.normal(size=(3, toxicity.WINDOW, toxicity.ODDS))
+    rows = rng.integers(0, 40, size=(3, toxicity.WINDOW, 5))
+    rows[..., 4] = len(net["E"]) - 1
     there, y, w = np.arange(toxicity.WINDOW) < np.array([[16], [5], [1]]), np.array([1.0, 0, 1]), np.ones(3)
     x[~there] = 0
-    loss, g = toxicity.learn(net, x, y, there, w)
-    for name, at in (("Wf", (0, 0)), ("Ub", (1, 2)), ("Vf", (2, 3)), ("v", (4,)), ("w", (1,)), ("bb", (20,))):
+    used = np.array([True, False, True])
+    loss, g = toxicity.learn(net, x, rows, y, there, w, used)
+    assert not g["E"][-1].any()
+    for name, at in (("Wf", (0, 0)), ("Wb", (9, 3)), ("Ub", (1, 2)), ("Vf", (2, 3)), ("v", (4,)), ("w", (1,)), ("bb", (20,)), ("E", (int(rows[0, 3, 1]), 2)), ("E", (int(rows[2, 0, 0]), 5)), ("E", (int(rows[0, 15, 2]), 0))):
         old, step = net[name][at], 1e-3
         net[name][at] = old + step
-        up = toxicity.learn(net, x, y, there, w)[0]
+        up = toxicity.learn(net, x, rows, y, there, w, used)[0]
         net[name][at] = old - step
-        down = toxicity.learn(net, x, y, there, w)[0]
+        down = toxicity.learn(net, x, rows, y, there, w, used)[0]
         net[name][at] = old
         assert abs((up - down) / (2 * step) - g[name][at]) < 1e-3
     clean = [" ".join(f"w{k}" for k in rng.integers(0, 400, 60)) for _ in range(400)]
