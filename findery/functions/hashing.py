@@ -2,43 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import hashlib
+from collections.abc import Iterator
 
-BITS = 64
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
+BITS, CHUNK, MOST_KNOWN = 64, 3, 200_000
 
-def chunks(tokens: Column) -> Column:
-    """Each token's windows of three characters; a shorter token is one."""
-    windows = F.transform(tokens, lambda t: F.when(F.char_length(t) <= 3, F.array(t)).otherwise(F.transform(F.sequence(F.lit(1), F.char_length(t) - 2), lambda i: F.substr(t, i, F.lit(3)))))
-    return F.flatten(windows)
 
+class _ChunkHashes(dict):
+    """The first eight bytes of md5 of each chunk seen, as a number, high byte first."""
 
-def chunk_hash(chunk: Column) -> Column:
-    """The first eight bytes of md5 as a signed number, high byte first."""
-    return F.conv(F.substring(F.md5(chunk.cast("binary")), 1, 16), 16, -10).cast("long")
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = h = int.from_bytes(hashlib.md5(chunk.encode("utf-8", "surrogatepass")).digest()[:8], "big")
+        return h
 
 
-def simhash(tokens: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, sim_hash) from (key, tokens): bit i of the chunks votes on bit 63 - i of the result; a tie is 0.  No tokens: 0.
+def simhash(tokens: Column) -> Column:
+    """Bit i of the chunks (each token's windows of three characters; a shorter token is one) votes on bit 63 - i of the result; a tie is 0.  No tokens: 0.
 
-    Counts are combined per (key, chunk) before the 64 votes are summed in one pass.
+    Chunks are few and come again and again, so a worker remembers the hashes of so many;
+    the votes of a document are one sum over a matrix of bits.  Nothing is shuffled.
     """
-    counted = tokens.select(key, F.explode(chunks(F.col("tokens"))).alias("chunk")).groupBy(key, "chunk").agg(F.count("*").alias("n"))
-    h = counted.select(key, "n", chunk_hash(F.col("chunk")).alias("h"))
-    votes = [F.sum(F.when(F.getbit("h", F.lit(i)) == 1, F.col("n")).otherwise(-F.col("n"))).alias(f"v{i}") for i in range(BITS)]
-    voted = h.groupBy(key).agg(*votes)
-    bits = [F.when(F.col(f"v{i}") > 0, F.shiftleft(F.lit(1).cast("long"), BITS - 1 - i)).otherwise(F.lit(0).cast("long")) for i in range(BITS)]
-    total = bits[0]
-    for b in bits[1:]:
-        total = total.bitwiseOR(b)
-    return tokens.select(key).join(voted.select(key, total.alias("sim_hash")), key, "left").select(key, F.coalesce("sim_hash", F.lit(0)).cast("long").alias("sim_hash"))
+
+    @F.pandas_udf("long")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _ChunkHashes()
+        for part in parts:
+            out = np.zeros(len(part), dtype=np.uint64)
+            for i, words in enumerate(part):
+                if words is None or not len(words):
+                    continue
+                found = [known[c] for t in words for c in ([t] if len(t) <= CHUNK else [t[k : k + CHUNK] for k in range(len(t) - CHUNK + 1)])]
+                bits = np.unpackbits(np.array(found, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
+                votes = 2 * bits.sum(axis=0, dtype=np.int64) > len(found)
+                out[i] = np.packbits(votes, bitorder="little").view("<u8")[0]
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            yield pd.Series(out.view(np.int64))
+
+    return run(tokens)
 
 
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def word_set(text: Column) -> Column:
+    """A text's distinct words between white space, case kept, as 64-bit hashes; a NULL text has none."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
 def jaccard_distance(a: Column, b: Column) -> Column:
     """Of two texts as sets of words between white space, case kept; two empty texts are equal."""
     x, y = (F.array_distinct(F.filter(F.split(t, r"\s+"), lambda w: w != "")) for t in (a, b))

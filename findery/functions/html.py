@@ -132,5 +132,5 @@ def parse(pages: DataFrame, languages: Sequence[str] = DEFAULTS.languages) -> Da
             out = pd.DataFrame(found, columns=["title", "description", "content", "hrefs"])
             yield pd.concat([part[["page_id", "url"]].reset_index(drop=True), out], axis=1)
 
-    kind = "page_id long, url string, title string, description string, content string, hrefs array<string>"
+    kind = f"page_id {dict(pages.dtypes)['page_id']}, url string, title string, description string, content string, hrefs array<string>"
     return pages.select("page_id", "url", "html").mapInPandas(run, kind)

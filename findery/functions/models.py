@@ -43,12 +43,14 @@ def classify(model: Callable[[], Encode], text: Column, label: int = 1) -> Colum
     return run(text)
 
 
-def hashing_encoder(dim: int = 64) -> Callable[[], Encode]:
+def hashing_encoder(dim: int = 64, most_words: int = 512) -> Callable[[], Encode]:
+    """Words beyond ``most_words`` are not seen, as by encoders with a fixed number of places."""
+
     def load() -> Encode:
         def run(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dim))
             for i, text in enumerate(texts):
-                for word in text.lower().split():
+                for word in text.lower().split()[:most_words]:
                     h = zlib.crc32(word.encode())
                     out[i, h % dim] += 1 if h >> 31 else -1
             return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+MOST_KNOWN = 200_000
+
 # The rules' word lists and suffixes.
 WHOLE = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli",
@@ -91,10 +94,16 @@ def stem(word: str) -> str:
 
 
 def stems(tokens: Column) -> Column:
-    """The stems of an array of lower-case tokens; NULL gives NULL."""
+    """The stems of an array of lower-case tokens; NULL gives NULL.  A worker stems each distinct token once, and remembers so many."""
 
     @F.pandas_udf("array<string>")
-    def run(part: pd.Series) -> pd.Series:
-        return part.map(lambda ts: None if ts is None else [t if t is None else stem(t) for t in ts])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known: dict[str | None, str | None] = {None: None}
+        for part in parts:
+            for t in {t for ts in part if ts is not None for t in ts}.difference(known):
+                known[t] = stem(t)
+            yield part.map(lambda ts: None if ts is None else [known[t] for t in ts])
+            if len(known) > MOST_KNOWN:
+                known = {None: None}
 
     return run(tokens)

@@ -18,6 +18,11 @@ then there these they this those through to too under until up very was we were
 you your yours""".split()
 
 TOKEN = r"([\p{L}\p{N}]+)"
+#: For texts of the web: addresses, handles and tags, emoticons, and words with their apostrophes and hyphens stay whole.
+WEB_TOKEN = (
+    r"(https?://[^\s<>\"]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[@#][\p{L}\p{N}_]+|[<>]?[:;=8][\-o*']?[)\](\[dp/:}{@|]|<3"
+    r"|[\p{L}\p{N}]+(?:['’\-][\p{L}\p{N}]+)*)"
+)
 
 
 def umlaut_fold(text: Column) -> Column:
@@ -26,9 +31,21 @@ def umlaut_fold(text: Column) -> Column:
     return text
 
 
-def tokens(text: Column) -> Column:
-    """Runs of letters and digits, lower-cased; a NULL text has none."""
-    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1)), F.array().cast("array<string>"))
+def tokens(text: Column, pattern: str = TOKEN) -> Column:
+    """Runs of letters and digits, or what else the pattern's first group finds, lower-cased; a NULL text has none."""
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
+
+
+def lemmatise(docs: DataFrame, lemmas: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, tokens) with each token that ``lemmas`` (token, lemma) knows replaced; order and repeats stay.
+
+    One join on the token, of the documents' distinct tokens only; Spark broadcasts the table if it is small.
+    """
+    known = lemmas.groupBy("token").agg(F.min("lemma").alias("lemma"))
+    found = docs.select(key, F.explode(F.array_distinct("tokens")).alias("token")).join(known, "token")
+    maps = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token", "lemma"))).alias("_lemmas"))
+    joined = docs.select(key, "tokens").join(maps, key, "left")
+    return joined.select(key, F.transform("tokens", lambda t: F.coalesce(F.element_at("_lemmas", t), t)).alias("tokens"))
 
 
 def preprocess(text: Column, stopwords: Sequence[str] = STOPWORDS, lemmas: Column | None = None) -> Column:

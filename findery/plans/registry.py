@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.config import DEFAULTS
-from findery.functions import hashing, html, urls, vectors
+from findery.functions import hashing, html, models, urls, vectors
 from findery.functions import text as T
 from findery.functions.stem import stems
-from findery.operators import dedup, frontier, graph, index, search, store
+from findery.operators import dedup, frontier, graph, index, indexing, search, store
 from findery.plans import fixtures as X
 from findery.session import read, snapshot
 from findery.sources import batch
@@ -163,9 +164,16 @@ def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _indexed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Lengths and postings, written once: the index that all queries read."""
-    docs = X.tokenised(spark, sf_dir)
-    return snapshot(index.lengths(docs), "lengths"), snapshot(index.postings(docs), "postings")
+    """Lengths and postings, written once in an application: the index that all its queries read."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        docs = X.tokenised(spark, sf_dir)
+        _INDEXES.clear()
+        _INDEXES[key] = snapshot(index.lengths(docs), "lengths"), index.stored_postings(docs)
+    return _INDEXES[key]
+
+
+_INDEXES: dict[tuple[str, str], tuple[DataFrame, DataFrame]] = {}
 
 
 @query(f"WITH {X.fill(X.PRE_SQL, pre=PRE)} SELECT query_id, doc_id, score, rank FROM pre")
@@ -236,16 +244,14 @@ NEAR_SQL = r"""cs AS (
   WHERE rank <= {limit})""".replace("{cos}", COS)
 
 
-def _all_candidates(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every (query, vector): the stated query set against all rows; only the queries are broadcast, if they are few."""
-    asked, held = X.query_vectors(spark, sf_dir), X.vectors(spark, sf_dir)
-    return asked, held, held.select("doc_id").crossJoin(asked.select("query_id"))
+def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stated query set against all vectors."""
+    return search.nearest(X.query_vectors(spark, sf_dir), X.vectors(spark, sf_dir), LIMIT, decimals=9)
 
 
 @query("WITH " + X.fill(NEAR_SQL, limit=LIMIT) + " SELECT query_id, doc_id, cosine FROM cs")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, held, pairs = _all_candidates(spark, sf_dir)
-    return search.cosine_rerank(pairs, asked, held, LIMIT, decimals=9)
+    return _nearest(spark, sf_dir)
 
 
 def _page_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,9 +265,7 @@ def _final(scored: DataFrame) -> DataFrame:
 
 @query(f"WITH {X.rounds_sql(10)}, " + X.fill(NEAR_SQL, limit=LIMIT) + X.fill(BLEND_SQL, src="cs"))
 def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked, held, pairs = _all_candidates(spark, sf_dir)
-    near = search.cosine_rerank(pairs, asked, held, LIMIT, decimals=9)
-    return _final(search.blend(near, _page_ranks(spark, sf_dir), decimals=6))
+    return _final(search.blend(_nearest(spark, sf_dir), _page_ranks(spark, sf_dir), decimals=6))
 
 
 @query(f"WITH {X.rounds_sql(10)}, " + X.fill(FUNNEL, pre=PRE, top=TOP, limit=LIMIT) + X.fill(BLEND_SQL, src="cs"))
@@ -298,25 +302,38 @@ SIM_SQL = X.TOK_SQL + r""", ch AS (
 hs AS (SELECT doc_id, n, ('0x' || substr(md5(chunk), 1, 16))::UBIGINT AS h FROM ch),
 vt AS (SELECT doc_id, i, sum(CASE WHEN (h >> i) & 1 = 1 THEN n ELSE -n END) AS v FROM hs, (SELECT unnest(range(64))::UBIGINT AS i) GROUP BY doc_id, i),
 sim AS (SELECT doc_id, coalesce(bit_or(CASE WHEN v > 0 THEN 1::UBIGINT << (63 - i)::UBIGINT ELSE 0::UBIGINT END), 0::UBIGINT) AS sim_hash FROM tok LEFT JOIN vt USING (doc_id) GROUP BY doc_id)"""
-PAIR_SQL = SIM_SQL + r""", pairs AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.sim_hash, y.sim_hash))::INT AS distance
-  FROM sim x JOIN sim y ON x.doc_id < y.doc_id WHERE bit_count(xor(x.sim_hash, y.sim_hash)) < 5)"""
-JACC_SQL = PAIR_SQL + r""", ws AS (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS w FROM documents),
-jac AS (
-  SELECT * FROM (
-    SELECT a, b, 1 - s / (len(x.w) + len(y.w) - s)::DOUBLE AS jaccard
-    FROM (SELECT a, b, x.w AS xw, y.w AS yw, len(list_intersect(x.w, y.w)) AS s FROM pairs JOIN ws x ON x.doc_id = a JOIN ws y ON y.doc_id = b)
-    JOIN ws x ON x.doc_id = a JOIN ws y ON y.doc_id = b)
-  WHERE jaccard < 0.02e0)"""
+WORDS_SQL = SIM_SQL + r""", ws AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''))) AS w FROM documents),
+held AS (SELECT doc_id, sim_hash, w, len(w) AS n FROM sim JOIN ws USING (doc_id)),
+cl AS (SELECT sim_hash, w, n, min(doc_id) AS rep FROM held GROUP BY sim_hash, w, n)"""
+JACC_SQL = r""", {name} AS (
+  SELECT a, b, CASE WHEN u = 0 THEN 0 ELSE 1 - s / u::DOUBLE END AS jaccard
+  FROM (SELECT a, b, s, n + m - s AS u FROM (
+    SELECT x.{id} AS a, y.{id} AS b, x.n, y.n AS m, len(list_intersect(x.w, y.w)) AS s
+    FROM {table} x JOIN {table} y ON x.{id} < y.{id} AND bit_count(xor(x.sim_hash, y.sim_hash)) < 5 AND x.n * 0.98e0 <= y.n AND y.n * 0.98e0 <= x.n))
+  WHERE u = 0 OR 1 - s / u::DOUBLE < 0.02e0)"""
+REPS_SQL = WORDS_SQL + X.fill(JACC_SQL, name="jac", id="rep", table="cl")
+EVERY_SQL = WORDS_SQL + X.fill(JACC_SQL, name="jac", id="doc_id", table="held")
+ROUNDS = 6
+
+
+def _greedy_sql() -> str:
+    """Rounds of the greedy rule, on all documents: kept if all earlier neighbours are dropped, dropped if one is kept.  Undecided after the last: NULL."""
+    sql = EVERY_SQL + ", s0 AS MATERIALIZED (SELECT doc_id, CASE WHEN doc_id NOT IN (SELECT b FROM jac) THEN true END AS kept FROM documents)"
+    for k in range(ROUNDS):
+        sql += f""", s{k + 1} AS MATERIALIZED (
+  SELECT doc_id, CASE WHEN kept IS NOT NULL THEN kept WHEN one THEN false WHEN every THEN true END AS kept
+  FROM s{k} LEFT JOIN (SELECT b AS doc_id, bool_or(coalesce(e.kept, false)) AS one, bool_and(coalesce(NOT e.kept, false)) AS every FROM jac JOIN s{k} e ON e.doc_id = a GROUP BY b) USING (doc_id))"""
+    return f"WITH {sql} SELECT doc_id, kept FROM s{ROUNDS}"
 
 
 def _hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hashing.simhash(X.tokenised(spark, sf_dir).select("doc_id", "tokens"))
+    return X.tokenised(spark, sf_dir).select("doc_id", hashing.simhash(F.col("tokens")).alias("sim_hash"))
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = dedup.hamming_pairs(snapshot(_hashes(spark, sf_dir), "hashes"))
-    return dedup.jaccard_pairs(pairs, read(spark, sf_dir, "documents"))
+def _near(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of representatives, and the members, both written."""
+    sets, members = dedup.classes(read(spark, sf_dir, "documents"), _hashes(spark, sf_dir))
+    return snapshot(dedup.jaccard_pairs(sets), "pairs"), members
 
 
 @query(f"WITH {SIM_SQL} SELECT doc_id, printf('%016x', sim_hash) AS sim_hash FROM sim")
@@ -324,27 +341,134 @@ def simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hashes(spark, sf_dir).select("doc_id", F.lower(F.lpad(F.hex("sim_hash"), 16, "0")).alias("sim_hash"))
 
 
-@query(f"WITH {PAIR_SQL} SELECT a, b, distance FROM pairs")
+@query(f"""WITH {SIM_SQL} SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.sim_hash, y.sim_hash))::INT AS distance
+FROM sim x JOIN sim y ON x.doc_id <> y.doc_id WHERE x.doc_id % 100 = 0 AND bit_count(xor(x.sim_hash, y.sim_hash)) < 5""")
 def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.hamming_pairs(snapshot(_hashes(spark, sf_dir), "hashes"))
+    """A search: each hundredth document against all."""
+    hashes = snapshot(_hashes(spark, sf_dir), "hashes")
+    return dedup.hamming_search(hashes.filter("doc_id % 100 = 0"), hashes)
 
 
-@query(f"WITH {JACC_SQL} SELECT a, b, round(jaccard, 9) AS jaccard FROM jac")
+@query(f"WITH {REPS_SQL} SELECT a, b, round(jaccard, 9) AS jaccard FROM jac")
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir).select("a", "b", F.round("jaccard", 9).alias("jaccard"))
+    return _near(spark, sf_dir)[0].select("a", "b", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query(f"""WITH {JACC_SQL} SELECT doc_id, match, jaccard FROM (
+@query(f"WITH {WORDS_SQL} SELECT doc_id, rep FROM held JOIN cl USING (sim_hash, w)")
+def near_dup_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who stands for whom in the pairs."""
+    return dedup.classes(read(spark, sf_dir, "documents"), _hashes(spark, sf_dir))[1].select("doc_id", "rep")
+
+
+@query(f"""WITH {EVERY_SQL} SELECT doc_id, match, jaccard FROM (
   SELECT b AS doc_id, a AS match, round(jaccard, 9) AS jaccard, row_number() OVER (PARTITION BY b ORDER BY jaccard, a) AS k FROM jac) WHERE k = 1""")
 def near_dup_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.best_match(_near(spark, sf_dir)).select("doc_id", "match", F.round("jaccard", 9).alias("jaccard"))
+    return dedup.best_match(*_near(spark, sf_dir)).select("doc_id", "match", F.round("jaccard", 9).alias("jaccard"))
 
 
-@query(f"""WITH {JACC_SQL} SELECT doc_id, NOT EXISTS (SELECT 1 FROM jac WHERE b = doc_id) AS kept FROM documents""")
+@query(_greedy_sql())
 def near_dup_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy in order of id; on these tables no chain is long enough to differ from 'has no earlier neighbour'."""
-    docs = read(spark, sf_dir, "documents")
-    return dedup.verdicts(docs, snapshot(_near(spark, sf_dir), "pairs")).select("doc_id", "kept")
+    """Greedy in order of id; the SQL knows no classes and takes all pairs of documents."""
+    pairs, members = _near(spark, sf_dir)
+    return dedup.verdicts(members, pairs).select("doc_id", "kept")
+
+
+# ---------------------------------------------------------------- indexing
+
+
+#: The documents that are on topic and mostly English take the place of all in the SQL of near copies.
+CHOSEN = f"""chosen AS MATERIALIZED (
+  WITH t AS (SELECT doc_id, unnest({X.TOKENS_SQL.format("text")}) AS t FROM documents),
+  w AS (SELECT doc_id, {FOLD_T} AS word FROM t),
+  v AS (SELECT DISTINCT unnest({X.TOKENS_SQL.format("text")}) AS word FROM benchmark),
+  s AS (SELECT doc_id, count(v.word) / count(*)::DOUBLE AS share FROM w LEFT JOIN v USING (word) WHERE regexp_matches(word, '^\\p{{L}}+$') GROUP BY doc_id)
+  SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM s WHERE share >= 0.5e0)
+    AND (list_contains({X.TOKENS_SQL.format("text")}, 'thing') OR len(list_intersect({X.TOKENS_SQL.format("text")}, ['the', 'and', 'of'])) = 3))"""
+FLOW_SQL = f"WITH {CHOSEN}, " + _greedy_sql().removeprefix("WITH ").rsplit(" SELECT doc_id, kept FROM", 1)[0].replace("FROM documents", "FROM chosen") + f""", flow AS (
+  SELECT doc_id, g.kept, coalesce(m.a, doc_id) AS content_of
+  FROM s{ROUNDS} g LEFT JOIN (SELECT b AS doc_id, arg_min(a, (jaccard, a)) AS a FROM jac JOIN s{ROUNDS} e ON e.doc_id = a AND e.kept GROUP BY b) m USING (doc_id))"""
+
+
+def _flow(spark: SparkSession, sf_dir: str) -> indexing.Indexed:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", T.tokens(F.col("text")).alias("tokens"))
+    words = read(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("word"))
+    return indexing.index_documents(docs, words, dataclasses.replace(DEFAULTS, any_topic=X.TOPIC_ANY, all_topics=X.TOPIC_ALL))
+
+
+@query(f"""{FLOW_SQL} SELECT f.doc_id, CASE WHEN f.kept THEN 3 ELSE 254 END::INT AS status, sha256(c.text) AS content_id, len(tok.tokens)::INT AS length
+FROM flow f JOIN chosen c ON c.doc_id = f.content_of JOIN tok ON tok.doc_id = f.doc_id""")
+def index_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance, near copies, content: the states and contents of all relevant documents."""
+    return _flow(spark, sf_dir).documents
+
+
+@query(f"{FLOW_SQL} SELECT sha256(text) AS content_id, text AS data, count(*) AS n FROM flow JOIN chosen USING (doc_id) WHERE kept GROUP BY text")
+def content_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is stored: one content for each kept text."""
+    done = _flow(spark, sf_dir)
+    used = done.documents.filter("status = 3").groupBy("content_id").agg(F.count("*").alias("n"))
+    return indexing.with_content(used, done.content).select("content_id", "data", "n")
+
+
+@query(f"{FLOW_SQL} SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest(tokens) AS term FROM tok JOIN flow USING (doc_id) WHERE kept) GROUP BY term, doc_id")
+def index_flow_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flow(spark, sf_dir).postings
+
+
+@query("""WITH c AS (SELECT sha256(text) AS content_id, max(toxic)::DOUBLE AS ai_score FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1)
+SELECT doc_id, source AS url, lang AS title, NULL::VARCHAR AS description, n_chars AS length, (doc_id % 3)::INT AS depth, 0e0 AS rank, ai_score
+FROM documents d JOIN c ON c.content_id = sha256(d.text) WHERE doc_id IN (SELECT item_id FROM benchmark)""")
+def documents_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results with their contents' scores; the benchmark's ids are those asked for."""
+    docs = read(spark, sf_dir, "documents").withColumn("content_id", T.content_id(F.col("text")))
+    scores = docs.select("doc_id", "content_id").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    content = scores.groupBy("content_id").agg(F.max("toxic").cast("double").alias("ai_score"))
+    shown = docs.select(
+        "doc_id", "content_id", F.col("source").alias("url"), F.col("lang").alias("title"), F.lit(None).cast("string").alias("description"),
+        F.col("n_chars").alias("length"), (F.col("doc_id") % 3).cast("int").alias("depth"), F.lit(0.0).alias("rank"),
+    )
+    return indexing.results(shown, content, read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")))
+
+
+@query(f"WITH {X.DOCS_SQL} SELECT doc_id, depth FROM docs WHERE status = 2 AND depth <= 1")
+def cached_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frontier.cached(X.documents(spark, sf_dir), 1).select("doc_id", "depth")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NOT NULL THEN quality ELSE n_chars END AS n_chars FROM documents LEFT JOIN labels USING (doc_id)")
+def update_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand in for what an update brings; what it has not, or has as NULL, stays."""
+    delta = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("long").alias("n_chars"))
+    return store.update(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), delta, "doc_id")
+
+
+@query("""SELECT vec_id AS doc_id, label::BIGINT AS label FROM embeddings
+UNION ALL SELECT doc_id, -1 AS label FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)""")
+def add_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first vector stays: documents that have one keep it."""
+    held = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").cast("long").alias("label"))
+    new = read(spark, sf_dir, "documents").select("doc_id", F.lit(-1).cast("long").alias("label"))
+    return store.add_first(held, new, "doc_id")
+
+
+@query(f"""WITH {X.TOK_SQL}, l AS (SELECT DISTINCT t AS token, regexp_replace(t, 's$', '') AS lemma FROM (SELECT unnest({X.TOKENS_SQL.format("text")}) AS t FROM benchmark) WHERE t LIKE '%s'),
+e AS (SELECT doc_id, unnest(tokens) AS t, unnest(range(len(tokens))) AS i FROM tok)
+SELECT tok.doc_id, coalesce(x.tokens, '') AS tokens FROM tok LEFT JOIN (
+  SELECT doc_id, string_agg(coalesce(lemma, t), ' ' ORDER BY i) AS tokens FROM e LEFT JOIN l ON l.token = e.t GROUP BY doc_id) x USING (doc_id)""")
+def lemmatise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the benchmark that end with s, and those without it, stand in for a table of lemmas."""
+    words = read(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).filter("token LIKE '%s'")
+    found = T.lemmatise(X.tokenised(spark, sf_dir), words.select("token", F.regexp_replace("token", "s$", "").alias("lemma")))
+    return found.select("doc_id", F.concat_ws(" ", "tokens").alias("tokens"))
+
+
+@query()
+def fill_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of all ready documents: those that have none are encoded from title, description and text.  The encoder is beyond SQL."""
+    docs = X.documents(spark, sf_dir).filter("status = 3")
+    text = T.embed_input(F.col("source"), F.lit(None).cast("string"), F.col("text"))
+    filled = search.fill_embeddings(docs, X.vectors(spark, sf_dir), text, lambda t: models.encode(models.hashing_encoder(), t))
+    return filled.select("doc_id", F.size("embedding").alias("size"))
 
 
 # ---------------------------------------------------------------- pages
@@ -365,7 +489,9 @@ links AS (
     AND regexp_extract(tag, '(?is)\shref="([^"]*)"', 1) <> '')"""
 )
 SITE = r"regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)"
-RESOLVED = rf"CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href WHEN href LIKE '/%' THEN {SITE} || href END"
+FOLDER = r"regexp_replace(coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), ''), '/'), '[^/]*$', '')"
+RESOLVED = rf"""CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN href WHEN href LIKE '//%' THEN regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1) || href
+  WHEN href LIKE '/%' THEN {SITE} || href WHEN regexp_matches(href, '^[?#]') THEN regexp_extract(url, '^([^?#]*)', 1) || href ELSE {SITE} || {FOLDER} || href END"""
 
 
 @query("SELECT page_id, " + CLEAN.format("url") + " AS clean FROM pages")
@@ -532,7 +658,7 @@ def present_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- batch
 
 
-BATCH_LINE = "CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'x ' || text WHEN 2 THEN '  ' || item_id || chr(9) || substr(text, 1, 40) || ' ' ELSE item_id || ' ' || substr(text, 1, 40) END"
+BATCH_LINE = "CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'x ' || text WHEN 2 THEN '  ' || item_id || chr(9) || text || ' ' ELSE item_id || ' ' || text END"
 
 
 @query(f"""WITH l AS (SELECT {BATCH_LINE} AS line FROM benchmark)
@@ -540,8 +666,8 @@ SELECT regexp_extract(line, '^\\s*(\\d+)\\s+(\\S[\\s\\S]*?)\\s*$', 1)::INT AS qu
 FROM l WHERE regexp_matches(line, '^\\s*(\\d+)\\s+(\\S[\\s\\S]*?)\\s*$')""")
 def batch_read_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines made of the benchmark texts: blank, without a number, and well-formed ones."""
-    k, n, head = F.col("item_id") % 4, F.col("item_id").cast("string"), F.substring("text", 1, 40)
-    line = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit("x "), F.col("text"))).when(k == 2, F.concat(F.lit("  "), n, F.lit("\t"), head, F.lit(" "))).otherwise(F.concat(n, F.lit(" "), head))
+    k, n, text = F.col("item_id") % 4, F.col("item_id").cast("string"), F.col("text")
+    line = F.when(k == 0, F.lit("")).when(k == 1, F.concat(F.lit("x "), text)).when(k == 2, F.concat(F.lit("  "), n, F.lit("\t"), text, F.lit(" "))).otherwise(F.concat(n, F.lit(" "), text))
     return batch.parse_queries(read(spark, sf_dir, "benchmark").select(line.alias("value")))
 
 

@@ -22,16 +22,20 @@ Fetch = Callable[[str], tuple[int | None, str | None]]
 
 
 def http_fetch(timeout: float = 10, kind: str = "text/html") -> Fetch:
-    """(status code, text) of a URL: code 0 for another content type, None if it can't be fetched or is too large."""
+    """(status code, text) of a URL: code 0 for another content type, None if it can't be fetched or is too large.
+
+    After 429 it waits as long as the server says, at most MOST_WAIT seconds (so also where it doesn't say), and tries again.
+    """
 
     def fetch(url: str) -> tuple[int | None, str | None]:
         asked = urllib.request.Request(url, headers={"User-Agent": AGENT, "Accept-Language": "en"})
         for _ in range(TRIES):
             try:
                 with urllib.request.urlopen(asked, timeout=timeout) as answer:
-                    if kind not in answer.headers.get("Content-Type", ""):
+                    if kind not in answer.headers.get("Content-Type", "").lower():
                         return 0, None
-                    if int(answer.headers.get("Content-Length") or 0) > MOST_BYTES:
+                    length = answer.headers.get("Content-Length") or ""
+                    if length.isdigit() and int(length) > MOST_BYTES:
                         return None, None
                     data = b""
                     while part := answer.read(READ_BYTES):
@@ -42,8 +46,8 @@ def http_fetch(timeout: float = 10, kind: str = "text/html") -> Fetch:
             except urllib.error.HTTPError as e:
                 if e.code != 429:
                     return e.code, None
-                wait = e.headers.get("Retry-After", "1")
-                time.sleep(min(int(wait) if wait.isdigit() else 1, MOST_WAIT))
+                wait = e.headers.get("Retry-After", "")
+                time.sleep(min(int(wait) if wait.isdigit() else MOST_WAIT, MOST_WAIT))
             except OSError:
                 return None, None
         return 429, None
@@ -60,7 +64,19 @@ def download(frontier: DataFrame, fetch: Callable[[], Fetch]) -> DataFrame:
             found = [get(u) for u in part["url"]]
             yield part.assign(code=pd.array([c for c, _ in found], dtype="Int64"), html=[h for _, h in found])
 
-    return frontier.select("doc_id", "url", "depth").mapInPandas(run, "doc_id long, url string, depth int, code long, html string")
+    return frontier.select("doc_id", "url", "depth").mapInPandas(run, f"doc_id {dict(frontier.dtypes)['doc_id']}, url string, depth int, code long, html string")
+
+
+def robots_rules(sites: DataFrame, fetch: Callable[[], Fetch] = lambda: http_fetch(kind="text/plain")) -> DataFrame:
+    """(host, rules) of sites (host, site), fetched on the executors, one request each; where there are none, or none can be had, NULL: all is allowed."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        get = fetch()
+        for part in parts:
+            found = [get(f"{x}/robots.txt") for x in part["site"]]
+            yield part[["host"]].assign(rules=[text if code is not None and 200 <= code < 300 else None for code, text in found])
+
+    return sites.select("host", "site").mapInPandas(run, "host string, rules string")
 
 
 def stored(frontier: DataFrame, pages: DataFrame) -> DataFrame:

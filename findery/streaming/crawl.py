@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -17,6 +17,7 @@ from findery.functions import text as T
 from findery.functions import urls
 from findery.operators import frontier
 from findery.session import snapshot
+from findery.sources.web import allowed
 
 
 def index_pages(pages: DataFrame, settings: Settings = DEFAULTS, relevant: Callable | None = None) -> DataFrame:
@@ -26,13 +27,27 @@ def index_pages(pages: DataFrame, settings: Settings = DEFAULTS, relevant: Calla
     return parsed.withColumn("relevant", gate)
 
 
-def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int, settings: Settings = DEFAULTS, relevant: Callable | None = None) -> tuple[DataFrame, DataFrame]:
+def url_id(url: Column) -> Column:
+    """A document's id: the digest of its URL, so that no two URLs share one."""
+    return F.sha2(url.cast("binary"), 256)
+
+
+def crawl(
+    seeds: DataFrame,
+    fetch: Callable[[DataFrame], DataFrame],
+    depth: int,
+    settings: Settings = DEFAULTS,
+    relevant: Callable | None = None,
+    robots: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """(documents, links) after crawling to ``depth``.  ``fetch`` maps the frontier to (doc_id, url, depth, code, html).
 
-    Pages off topic or not indexed still hand on their links at depth 0 and 1, but no deeper.
+    ``robots`` maps sites (host, site) to (host, rules); each host is asked once, and links that its rules forbid are
+    never offered.  Pages off topic or not indexed still hand on their links at depth 0 and 1, but no deeper.
     """
     new = seeds.groupBy("url").agg(F.min_by("depth", "nth").alias("depth"))
-    docs = snapshot(new.select(F.xxhash64("url").alias("doc_id"), "url", "depth", F.lit(PENDING).alias("status")), "documents")
+    docs = snapshot(new.select(url_id(F.col("url")).alias("doc_id"), "url", "depth", F.lit(PENDING).alias("status")), "documents")
+    rules = None
     links = docs.select(F.col("doc_id").alias("src"), F.col("doc_id").alias("dst")).limit(0)
     for level in range(depth + 1):
         todo = docs.filter((F.col("status") == PENDING) & (F.col("depth") <= level))
@@ -44,11 +59,17 @@ def crawl(seeds: DataFrame, fetch: Callable[[DataFrame], DataFrame], depth: int,
         states = got.select("doc_id", "status").join(done.select(F.col("page_id").alias("doc_id"), "relevant"), "doc_id", "left")
         states = states.select("doc_id", F.when(F.col("status") == CACHED, frontier.after_index(F.col("relevant"))).otherwise(F.col("status")).alias("status"))
         out = done.filter(F.col("relevant") | F.lit(level <= 1)).select("page_id", "url", F.explode("hrefs").alias("href"))
-        target = urls.clean(urls.resolve_any(F.col("url"), F.col("href")))
+        target = urls.clean(urls.resolve(F.col("url"), F.col("href")))
         offers = snapshot(out.select(F.col("page_id").alias("src"), target.alias("url")).filter("url is not null").distinct(), "offers")
+        if robots:
+            hosts = offers.groupBy(urls.host(F.col("url")).alias("host")).agg(F.min(urls.site(F.col("url"))).alias("site")).filter("host is not null")
+            asked = hosts if rules is None else hosts.join(rules.select("host"), "host", "left_anti")
+            answers = snapshot(robots(asked).select("host", "rules"), "robots")
+            rules = answers if rules is None else rules.unionByName(answers)
+            offers = snapshot(allowed(offers, rules), "offers")
         docs = frontier.set_status(docs, states)
         fresh = offers.select("url").distinct().join(docs.select("url"), "url", "left_anti")
-        added = fresh.select(F.xxhash64("url").alias("doc_id"), "url", F.lit(level + 1).alias("depth"), F.lit(PENDING).alias("status"))
+        added = fresh.select(url_id(F.col("url")).alias("doc_id"), "url", F.lit(level + 1).alias("depth"), F.lit(PENDING).alias("status"))
         docs = snapshot(docs.select("doc_id", "url", "depth", "status").unionByName(added), "documents")
         links = snapshot(frontier.insert_links(links, offers, docs), "links")
     return docs, links

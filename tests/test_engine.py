@@ -1,8 +1,11 @@
 """The engine against hand-computed values, and every query against its SQL."""
 
+import http.server
 import math
+import threading
 
 import duckdb
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,8 +13,9 @@ from pyspark.sql import functions as F
 
 from findery.functions import hashing, html, stem, text, urls, vectors
 from findery.functions.models import encode, hashing_encoder
-from findery.operators import dedup, frontier, graph, index, search, store
+from findery.operators import dedup, frontier, graph, index, indexing, search, store
 from findery.plans import registry
+from findery.session import snapshot
 from findery.sources import batch, web
 from findery.streaming import crawl
 
@@ -90,9 +94,9 @@ def test_softmax_and_cosine(spark):
 
 
 def test_simhash_bit_order_and_empty(spark):
-    docs = spark.createDataFrame([(1, ["abc"]), (2, []), (3, ["ab", "abcd"])], "doc_id int, tokens array<string>")
-    got = {r["doc_id"]: r["sim_hash"] for r in hashing.simhash(docs).collect()}
-    assert got[1] == 1004948388347281417 and got[2] == 0 and got[3] != 0
+    docs = spark.createDataFrame([(1, ["abc"]), (2, []), (3, ["ab", "abcd"]), (4, None)], "doc_id int, tokens array<string>")
+    got = {r["doc_id"]: r["x"] for r in docs.select("doc_id", hashing.simhash(F.col("tokens")).alias("x")).collect()}
+    assert got[1] == 1004948388347281417 and got[2] == got[4] == 0 and got[3] != 0
 
 
 def test_jaccard_bound(spark):
@@ -105,27 +109,98 @@ def test_jaccard_bound(spark):
 
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.integers(-(2**63), 2**63 - 1), min_size=2, max_size=30))
-def test_banded_join_is_exact(spark, values):
+def test_banded_search_is_exact(spark, values):
     values += [values[0] ^ 1, values[0] ^ 0b1111, values[0] ^ (1 << 40)]
     values = [(v + 2**63) % 2**64 - 2**63 for v in values]
     frame = spark.createDataFrame(list(enumerate(values)), "doc_id int, sim_hash long")
-    want = {(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i < j and bin((a ^ b) % 2**64).count("1") < 5}
-    assert {(r["a"], r["b"]) for r in dedup.hamming_pairs(frame).collect()} == want
-
-
-def test_greedy_verdicts(spark):
-    ids = spark.createDataFrame([(i,) for i in range(6)], "doc_id int")
-    pairs = spark.createDataFrame([(0, 1, 0.01), (1, 2, 0.01), (2, 3, 0.01)], "a int, b int, jaccard double")
-    got = {r["doc_id"]: (r["kept"], r["content_of"]) for r in dedup.verdicts(ids, pairs).collect()}
-    assert got == {0: (True, 0), 1: (False, 0), 2: (True, 2), 3: (False, 2), 4: (True, 4), 5: (True, 5)}
-    assert dedup.verdicts(ids, pairs.limit(0)).filter("kept").count() == 6
-
-
-def test_verdicts_are_never_left_undecided(spark):
-    ids, pairs = spark.range(6).toDF("doc_id"), spark.createDataFrame([(k, k + 1, 0.1) for k in range(5)], "a long, b long, jaccard double")
-    with pytest.raises(RuntimeError, match="undecided"):
-        dedup.verdicts(ids, pairs, most_rounds=2)
-    assert [r["kept"] for r in dedup.verdicts(ids, pairs, most_rounds=3).orderBy("doc_id").collect()] == [True, False] * 3
+    want = {(i, j) for i, a in enumerate(values) for j, b in enumerate(values) if i != j and i % 3 == 0 and bin((a ^ b) % 2**64).count("1") < 5}
+    assert {(r["a"], r["b"]) for r in dedup.hamming_search(frame.filter("doc_id % 3 = 0"), frame).collect()} == want
+
+
+def brute_verdicts(texts, hashes):
+    """By the rule as it is stated: distances of all earlier documents, and for each document the kept ones among them."""
+    near, kept = {}, {}
+    words = {i: set((t or "").split()) for i, t in texts.items()}
+    for i in sorted(texts):
+        near[i] = []
+        for j in sorted(texts):
+            if j < i and bin((hashes[i] ^ hashes[j]) % 2**64).count("1") < 5:
+                both = len(words[i] | words[j])
+                distance = 1 - len(words[i] & words[j]) / both if both else 0.0
+                if distance < 0.02:
+                    near[i].append((distance, j))
+        own = [x for x in near[i] if kept[x[1]] is None]
+        kept[i] = min(own)[1] if own else None
+    return near, kept
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_near_copies_equal_brute_force(spark, seed):
+    """Chains of texts each of which is near the next only, copies of them, hashes that differ, small and empty texts."""
+    rng = np.random.default_rng(seed)
+    texts, hashes = {}, {}
+    ids = iter(rng.permutation(400).tolist())
+    for size in (40, 120, 333):
+        words = [f"w{size}x{k}" for k in range(size)]
+        for step in range(12):
+            words[int(rng.integers(size))] = f"n{size}x{step}"
+            for _ in range(int(rng.integers(1, 4))):
+                i = next(ids)
+                texts[i], hashes[i] = " ".join(words), int(rng.choice([0, 1, 0b11, 0b11111000]))
+    for t in ("", " ", None, "a b", "b a"):
+        i = next(ids)
+        texts[i], hashes[i] = t, 0
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets, members = dedup.classes(docs, spark.createDataFrame(list(hashes.items()), "doc_id long, sim_hash long"))
+    pairs = snapshot(dedup.jaccard_pairs(sets))
+    near, kept = brute_verdicts(texts, hashes)
+    reps = {r["rep"] for r in members.collect()}
+    want = {(j, i): d for i, x in near.items() for d, j in x if i in reps and j in reps}
+    got = {(r["a"], r["b"]): r["jaccard"] for r in pairs.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], abs_tol=1e-12) for k in got) and len(got) > 10
+    best = {r["doc_id"]: r["match"] for r in dedup.best_match(pairs, members).collect()}
+    assert best == {i: min(x)[1] for i, x in near.items() if x}
+    found = {r["doc_id"]: (r["kept"], r["content_of"]) for r in dedup.verdicts(members, pairs).collect()}
+    assert found == {i: (k is None, i if k is None else k) for i, k in kept.items()}
+
+
+def test_a_long_chain_is_decided(spark):
+    members = spark.createDataFrame([(k, k) for k in range(24)], "doc_id long, rep long")
+    pairs = spark.createDataFrame([(k, k + 1, 0.01) for k in range(23)], "a long, b long, jaccard double")
+    assert [r["kept"] for r in dedup.verdicts(members, pairs).orderBy("doc_id").collect()] == [True, False] * 12
+    assert dedup.verdicts(members, pairs.limit(0)).filter("kept").count() == 24
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(500, None), (501, [0.0] * 8), (502, [1.0, 2.0]), (503, x[7].tolist())]
+    held = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(5)
+    asked = spark.createDataFrame([(k, x[k].tolist()) for k in range(20)] + [(99, None)], "query_id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    for most in (1 << 20, 300):
+        monkeypatch.setattr(search, "MOST_BYTES", most)
+        got = {}
+        for r in search.nearest(asked, held, 4).collect():
+            got.setdefault(r["query_id"], []).append((-round(r["cosine"], 9), r["doc_id"]))
+        every = {k: sorted([(-round(float(u[k] @ u[j]), 9), j) for j in range(300)] + [(-round(float(u[k] @ u[7]), 9), 503)])[:4] for k in range(20)}
+        assert {k: sorted(v) for k, v in got.items()} == every
+    assert search.nearest(asked.limit(0), held, 4).count() == 0 and search.nearest(asked, held.limit(0), 4).count() == 0
+
+
+def test_no_queries_terms_or_candidates(spark):
+    docs = spark.createDataFrame([(1, 3, ["a", "b"])], "doc_id long, status int, tokens array<string>")
+    queries = spark.createDataFrame([(1, "a")], "query_id long, term string")
+    for asked, held in ((queries.limit(0), docs), (queries, docs.limit(0)), (queries.withColumn("term", F.lit("zz")), docs)):
+        posted, lengths = index.postings(held), index.lengths(held)
+        assert index.ranked_bm25(asked, posted, lengths, 5).count() == 0 and index.term_map(index.matches(asked, posted, lengths)).count() == 0
+    assert index.ranked_bm25(queries, index.stored_postings(docs), index.lengths(docs), 5).count() == 1
+    shown = docs.select("doc_id", F.lit("c").alias("content_id"), *(F.lit(None).cast("string").alias(c) for c in ("url", "title", "description", "length", "depth", "rank")))
+    content = spark.createDataFrame([("c", 0.5)], "content_id string, ai_score double")
+    assert indexing.results(shown, content, docs.select("doc_id").limit(0)).count() == 0
+    assert indexing.results(shown, content, docs.select("doc_id")).first()["ai_score"] == 0.5
+    none = indexing.index_documents(docs.select("doc_id", F.lit("a b").alias("text"), "tokens").limit(0), queries.select(F.col("term").alias("word")))
+    assert none.documents.count() == none.content.count() == none.postings.count() == 0
 
 
 def test_urls(spark):
@@ -134,6 +209,12 @@ def test_urls(spark):
     assert clean("mailto:x@y") is None and clean(clean("http://a.b/c/")) == "http://a.b/c"
     frame = spark.createDataFrame([("http://a.b/c/d", "../e"), ("http://a.b/c/d", "//x.y/z"), ("http://a.b/c", None)], "base string, href string")
     assert [r[0] for r in frame.select(urls.resolve_any("base", "href")).collect()] == ["http://a.b/e", "http://x.y/z", None]
+    bases = ["http://a.b/c/d?q=1#f", "http://a.b/c/d/", "http://a.b", "https://u@a.b:8/x/y/z"]
+    hrefs = ["../e", "x.html", "./x", "../../../e", "..", ".", "/a/./b/../c", "?p=2", "#top", "", "//x.y/z", "mailto:x", "e/../../f?x=/../y", "/", "g/", "a/..", "https://o.p/q"]
+    both = spark.createDataFrame([(a, b) for a in bases for b in hrefs], "base string, href string")
+    found = both.select("base", "href", urls.resolve(F.col("base"), F.col("href")).alias("x"), urls.resolve_any("base", "href").alias("y")).collect()
+    differ = [tuple(r) for r in found if r["x"] != r["y"]]
+    assert not differ
 
 
 def test_parser():
@@ -146,6 +227,11 @@ def test_text_functions(spark):
     assert one(spark, text.umlaut_fold(F.lit("Äöß"))) == "Aeoess"
     assert one(spark, text.preprocess(F.lit("The cats, THE Tübingen!"), lemmas=F.create_map(F.lit("cats"), F.lit("cat")))) == ["cat", "tuebingen"]
     assert one(spark, text.tokens(F.lit(None).cast("string"))) == []
+    web_text = "See https://a.b/c?d=1 @you #Tag don't :-) x@y.z well-known <3"
+    assert one(spark, text.tokens(F.lit(web_text), text.WEB_TOKEN)) == ["see", "https://a.b/c?d=1", "@you", "#tag", "don't", ":-)", "x@y.z", "well-known", "<3"]
+    docs = spark.createDataFrame([(1, ["cats", "x", "cats"]), (2, [])], "doc_id int, tokens array<string>")
+    lemmas = spark.createDataFrame([("cats", "cat"), ("dogs", "dog")], "token string, lemma string")
+    assert {r["doc_id"]: r["tokens"] for r in text.lemmatise(docs, lemmas).collect()} == {1: ["cat", "x", "cat"], 2: []}
     assert one(spark, text.embed_input(F.lit(""), F.lit(None).cast("string"), F.lit("c"))) == "c"
 
 
@@ -197,6 +283,59 @@ def test_crawl_of_stored_pages(spark):
     got = {r["url"]: (r["depth"], r["status"]) for r in docs.collect()}
     assert got == {"http://a.b": (0, 3), "http://a.b/x": (1, 254), "http://a.b/y": (2, 3), "http://c.d": (2, 254)}
     assert links.count() == 3
+    rules = {"a.b": "User-agent: *\nDisallow: /y", "c.d": None}
+    asked = []
+
+    def robots(sites):
+        asked.extend(r["host"] for r in sites.collect())
+        return sites.select("host", F.when(F.col("host") == "a.b", rules["a.b"]).alias("rules"))
+
+    docs, _ = crawl.crawl(seeds, lambda f: web.stored(f, pages), depth=2, relevant=gate, robots=robots)
+    assert {r["url"] for r in docs.collect()} == {"http://a.b", "http://a.b/x", "http://c.d"} and sorted(asked) == ["a.b", "c.d"]
+
+
+class _Site(http.server.BaseHTTPRequestHandler):
+    tries = 0
+
+    def do_GET(self):
+        if self.path == "/busy" and not _Site.tries:
+            _Site.tries += 1
+            self.send_response(429)
+            self.send_header("Retry-After", "0")
+            self.end_headers()
+            return
+        kind = "text/plain" if self.path == "/robots.txt" else "Text/HTML; charset=utf-8"
+        body = {"/robots.txt": b"User-agent: *\nDisallow: /no", "/large": b"x" * (3 << 20)}.get(self.path, b"<p>ok")
+        if self.path == "/gone":
+            self.send_response(404)
+            self.end_headers()
+            return
+        self.send_response(200)
+        self.send_header("Content-Type", kind)
+        self.end_headers()
+        self.wfile.write(body)
+
+    def log_message(self, *args):
+        pass
+
+
+def test_fetching_from_a_server(spark):
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    site = f"http://127.0.0.1:{server.server_address[1]}"
+    get = web.http_fetch(5)
+    assert get(f"{site}/busy") == (200, "<p>ok") and _Site.tries == 1
+    assert get(f"{site}/gone") == (404, None) and get(f"{site}/robots.txt") == (0, None) and get(f"{site}/large") == (None, None)
+    sites = spark.createDataFrame([(urls_host, f"http://{urls_host}") for urls_host in (site[7:], "127.0.0.1:1")], "host string, site string")
+    assert {r["host"]: r["rules"] for r in web.robots_rules(sites).collect()} == {site[7:]: "User-agent: *\nDisallow: /no", "127.0.0.1:1": None}
+    asked = spark.createDataFrame([("k", f"{site}/x", 0)], "doc_id string, url string, depth int")
+    assert [tuple(r) for r in web.download(asked, lambda: web.http_fetch(5)).collect()] == [("k", f"{site}/x", 0, 200, "<p>ok")]
+    server.shutdown()
+
+
+def test_training_triplets(spark):
+    rows = spark.createDataFrame([("q", "p", "n", 1)], "query string, positive string, negative string, more int")
+    assert web.triplets(rows).first().asDict() == {"anchor": "q", "positive": "p", "negative": "n"}
 
 
 def test_stream_of_pages(spark, data, tmp_path):
