@@ -61,51 +61,48 @@ class Model:
 
 
 def _buckets(h: np.ndarray, bits: int) -> np.ndarray:
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def word_keys(words: cp.Words, firsts: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Buckets of the words at ``firsts``: two of the word, its prefixes (-1 if shorter), its inner n-grams with their owners."""
-    h, starts, lengths = words.hashes[firsts], words.starts[firsts], words.lengths[firsts]
-    own = [_buckets(h, WORD_BITS), _buckets(cp.mix(h ^ cp.MULT), WORD_BITS)]
-    chars = words.chars.astype(np.uint64) + np.uint64(1)
-    rolled, prefixes = np.zeros(len(firsts), dtype=np.uint64), []
-    for n in range(1, PREFIXES[-1] + 1):
-        has = lengths >= n
-        rolled = np.where(has, rolled * cp.CHAR + chars[np.where(has, starts + n - 1, 0)], rolled)
-        if n in PREFIXES:
-            prefixes.append(np.where(has, _buckets(cp.mix(rolled + np.uint64(n)), CHAR_BITS), -1))
-    many = np.maximum(lengths - INNER + 1, 0)
-    owner = np.repeat(np.arange(len(firsts)), many)
-    at = np.repeat(starts, many) + np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-    g = np.zeros(len(at), dtype=np.uint64)
-    for j in range(INNER):
-        g = g * cp.CHAR + chars[at + j]
-    return own, prefixes, _buckets(cp.mix(g), CHAR_BITS), owner
-
-
-def odds(model: Model, words: cp.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Odds of the distinct words, their rows in the learned table (word, then prefixes), and each word's place among the distinct ones."""
-    _, firsts, which = np.unique(words.hashes, return_index=True, return_inverse=True)
-    own, prefixes, inner, owner = word_keys(words, firsts)
-    x = np.zeros((len(firsts), ODDS), dtype=np.float32)
-    for k, (t, keys) in enumerate(zip(model.words, own)):
-        x[:, k] = t[keys]
-    for k, (t, keys) in enumerate(zip(model.prefixes, prefixes)):
-        x[:, 2 + k] = np.where(keys >= 0, t[keys], 0)
-    if len(owner):
-        edges = np.flatnonzero(np.diff(owner, prepend=-1))
-        values, at = model.inner[inner], owner[edges]
+    return (h >> np.uint64(64 - bits)).astype(np.int32)
+
+
+class Keys:
+    """Of a text's distinct words the buckets: two of the word, its prefixes (-1 if shorter), its inner n-grams with their owners; and each word's place among them."""
+
+    __slots__ = ("own", "prefixes", "inner", "owner", "which")
+
+    def __init__(self, words: cp.Words):
+        _, firsts, which = np.unique(words.hashes, return_index=True, return_inverse=True)
+        h, starts, lengths = words.hashes[firsts], words.starts[firsts], words.lengths[firsts]
+        self.own = [_buckets(h, WORD_BITS), _buckets(cp.mix(h ^ cp.MULT), WORD_BITS)]
+        chars = words.chars.astype(np.uint64) + np.uint64(1)
+        rolled, self.prefixes = np.zeros(len(firsts), dtype=np.uint64), []
+        for n in range(1, PREFIXES[-1] + 1):
+            has = lengths >= n
+            rolled = np.where(has, rolled * cp.CHAR + chars[np.where(has, starts + n - 1, 0)], rolled) if len(firsts) else rolled
+            if n in PREFIXES:
+                self.prefixes.append(np.where(has, _buckets(cp.mix(rolled + np.uint64(n)), CHAR_BITS), np.int32(-1)))
+        many = np.maximum(lengths - INNER + 1, 0)
+        self.owner = np.repeat(np.arange(len(firsts), dtype=np.int32), many)
+        at = np.repeat(starts, many) + np.arange(len(self.owner)) - np.repeat(np.cumsum(many) - many, many)
+        g = np.zeros(len(at), dtype=np.uint64)
+        for j in range(INNER):
+            g = g * cp.CHAR + chars[at + j]
+        self.inner, self.which = _buckets(cp.mix(g), CHAR_BITS), which.astype(np.int32)
+
+
+def odds(model: Model, keys: Keys) -> tuple[np.ndarray, np.ndarray]:
+    """Odds of the distinct words, and their rows in the learned table (word, then prefixes)."""
+    x = np.zeros((len(keys.own[0]), ODDS), dtype=np.float32)
+    for k, (t, own) in enumerate(zip(model.words, keys.own)):
+        x[:, k] = t[own]
+    for k, (t, own) in enumerate(zip(model.prefixes, keys.prefixes)):
+        x[:, 2 + k] = np.where(own >= 0, t[own], 0)
+    if len(keys.owner):
+        edges = np.flatnonzero(np.diff(keys.owner, prepend=-1))
+        values, at = model.inner[keys.inner], keys.owner[edges]
         x[at, -2] = np.maximum.reduceat(values, edges)
-        x[at, -1] = np.add.reduceat(values, edges) / np.diff(np.append(edges, len(owner)))
-    rows = [own[0] >> (WORD_BITS - ROW_BITS), *(np.where(k >= 0, (1 << ROW_BITS) + (k >> (CHAR_BITS - ROW_BITS)), 2 << ROW_BITS) for k in prefixes)]
-    return x, np.stack(rows, axis=1).astype(np.int32), which
-
-
-def features(model: Model, words: cp.Words) -> tuple[np.ndarray, np.ndarray]:
-    """Inputs of the distinct words, and each word's place among them."""
-    x, rows, which = odds(model, words)
-    return joined(model.net, x, rows), which
+        x[at, -1] = np.add.reduceat(values, edges) / np.diff(np.append(edges, len(keys.owner)))
+    rows = [keys.own[0] >> (WORD_BITS - ROW_BITS), *(np.where(k >= 0, (1 << ROW_BITS) + (k >> (CHAR_BITS - ROW_BITS)), 2 << ROW_BITS) for k in keys.prefixes)]
+    return x, np.stack(rows, axis=1).astype(np.int32)
 
 
 def joined(net: dict[str, np.ndarray], x: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -220,72 +217,78 @@ def fresh(seed: int = 7) -> dict[str, np.ndarray]:
 
 def window_logits(model: Model, text: str) -> np.ndarray:
     """Logits of all windows of a text."""
-    return _of_words(model, cp.Words(text))
+    return next(_of_many(model.net, iter([_item(model, Keys(cp.Words(text)))])))
+
+
+def _logits(net: dict[str, np.ndarray], x: np.ndarray, rows: np.ndarray, block: int = 4096) -> np.ndarray:
+    inputs = {s: np.concatenate([gates(net, x, s), np.zeros((1, 3 * HIDDEN), dtype=np.float32)]).astype(np.float32) for s in "fb"}
+    return np.concatenate([run(net, inputs, rows[i : i + block]) for i in range(0, len(rows), block)])
+
+
+def _of_many(net: dict[str, np.ndarray], items: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], block: int = 4096) -> Iterator[np.ndarray]:
+    """Logits of the windows of each text; those of many texts go through the network together.  ``items``: odds, rows and windows."""
 
+    def run_(part: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+        base = np.cumsum([0, *(len(x) for x, _, _ in part)])
+        x = joined(net, np.concatenate([x for x, _, _ in part]), np.concatenate([rows for _, rows, _ in part]))
+        at = np.concatenate([np.where(at >= 0, at + n, -1) for (_, _, at), n in zip(part, base)])
+        return np.split(_logits(net, x, at), np.cumsum([len(at) for _, _, at in part])[:-1])
 
-def _of_words(model: Model, words: cp.Words) -> np.ndarray:
-    n = len(words.hashes)
+    held, n = [], 0
+    for item in items:
+        held.append(item)
+        n += len(item[2])
+        if n >= block:
+            yield from run_(held)
+            held, n = [], 0
+    if held:
+        yield from run_(held)
+
+
+def _item(model: Model, keys: Keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A text's odds and rows of the learned table, by distinct word, and the words of its windows."""
+    n = len(keys.which)
     if not n:
-        rows, x = np.full((1, WINDOW), -1), np.zeros((0, FEATURES), dtype=np.float32)
-    else:
-        x, which = features(model, words)
-        at = windows(n)[:, None] + np.arange(WINDOW)
-        rows = np.where(at < n, which[np.minimum(at, n - 1)], -1)
-    return _logits(model, x, rows)
-
-
-def _logits(model: Model, x: np.ndarray, rows: np.ndarray, block: int = 4096) -> np.ndarray:
-    inputs = {s: np.concatenate([gates(model.net, x, s), np.zeros((1, 3 * HIDDEN), dtype=np.float32)]).astype(np.float32) for s in "fb"}
-    return np.concatenate([run(model.net, inputs, rows[i : i + block]) for i in range(0, len(rows), block)])
-
-
-def _tables(words: list[cp.Words], labels: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    kinds = [WORD_BITS] * 2 + [CHAR_BITS] * (len(PREFIXES) + 1)
-    seen = [np.zeros((2, 1 << b), dtype=np.float32) for b in kinds]
-    for w, y in zip(words, labels):
-        if len(w.hashes):
-            own, prefixes, inner, _ = word_keys(w, np.unique(w.hashes, return_index=True)[1])
-            for s, keys in zip(seen, [*own, *prefixes, inner]):
-                s[y, np.unique(keys[keys >= 0])] += 1
-    share = labels.mean()
-    out = []
-    for s in seen:
-        both = s.sum(axis=0)
-        z = (s[1] - both * share) / np.sqrt(both * share * (1 - share) + 1)
+        return np.zeros((0, ODDS), np.float32), np.zeros((0, 1 + len(PREFIXES)), np.int32), np.full((1, WINDOW), -1, dtype=np.int32)
+    at = windows(n)[:, None] + np.arange(WINDOW)
+    return *odds(model, keys), np.where(at < n, keys.which[np.minimum(at, n - 1)], np.int32(-1))
+
+
+def _tables(texts: list[Keys], labels: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    share, out = labels.mean(), []
+    for k, bits in enumerate([WORD_BITS] * 2 + [CHAR_BITS] * (len(PREFIXES) + 1)):
+        seen = np.zeros((2, 1 << bits), dtype=np.float32)
+        for x, y in zip(texts, labels):
+            keys = [*x.own, *x.prefixes, x.inner][k]
+            seen[y][keys[keys >= 0]] += 1  # once for each text, however often it has the bucket
+        both = seen.sum(axis=0)
+        z = (seen[1] - both * share) / np.sqrt(both * share * (1 - share) + 1)
         out.append((np.sign(z) * np.sqrt(np.abs(z)) / 2).astype(np.float32))
     return out[:2], out[2:-1], out[-1]
 
 
-def _fit(words: list[cp.Words], labels: np.ndarray, turns: int, epochs: int, rate: float, seed: int) -> Model:
+def _fit(texts: list[Keys], labels: np.ndarray, turns: int, epochs: int, rate: float, seed: int) -> Model:
     """Tables and network of texts with labels of both kinds."""
     rng = np.random.default_rng(seed)
     # tables from one half score the other, so that the network learns what they are worth on new texts
-    half = rng.permutation(len(words)) % 2
+    half = rng.permutation(len(texts)) % 2
     sides = [labels[half != side] for side in (0, 1)]
     if any(len(x) == 0 or x.min() == x.max() for x in sides):
-        parts = [Model(*_tables(words, labels), fresh(seed))] * 2
+        parts = [Model(*_tables(texts, labels), fresh(seed))] * 2
     else:
-        parts = [Model(*_tables([w for w, k in zip(words, half) if k != side], sides[side]), fresh(seed)) for side in (0, 1)]
-    data = []
-    for w, k in zip(words, half):
-        n = len(w.hashes)
-        if n:
-            x, rows, which = odds(parts[k], w)
-            at = windows(n)[:, None] + np.arange(WINDOW)
-            data.append((x, rows, np.where(at < n, which[np.minimum(at, n - 1)], -1).astype(np.int32)))
-        else:
-            data.append((np.zeros((0, ODDS), np.float32), np.zeros((0, 1 + len(PREFIXES)), np.int32), np.full((1, WINDOW), -1, dtype=np.int32)))
-    model = Model(*_tables(words, labels), fresh(seed))
+        parts = [Model(*_tables([x for x, k in zip(texts, half) if k != side], sides[side]), fresh(seed)) for side in (0, 1)]
+    data = [_item(parts[k], x) for x, k in zip(texts, half)]
+    model = Model(*_tables(texts, labels), fresh(seed))
     del parts
     net, state, step = model.net, {k: [np.zeros_like(v)] * 2 for k, v in fresh().items()}, 0
     nothing = np.zeros((1, ODDS), np.float32), np.full((1, 1 + len(PREFIXES)), 2 << ROW_BITS, dtype=np.int32)
     for turn in range(turns):
         chosen, ys = [], []
-        for (x, rows, at), y in zip(data, labels):
-            if turn == 0:
-                best = int(np.append(x[:, :2].sum(axis=1), 0)[at].max(axis=1).argmax())
-            else:
-                best = int(_logits(model, joined(net, x, rows), at).argmax())
+        if turn == 0:
+            highest = [int(np.append(x[:, :2].sum(axis=1), 0)[at].max(axis=1).argmax()) for x, _, at in data]
+        else:
+            highest = [int(x.argmax()) for x in _of_many(net, iter(data))]
+        for (x, rows, at), best, y in zip(data, highest, labels):
             for k in [best] if y else {best, int(rng.integers(len(at)))}:
                 chosen.append((np.concatenate([x, nothing[0]])[at[k]], np.concatenate([rows, nothing[1]])[at[k]], at[k] >= 0))
                 ys.append(y)
@@ -310,8 +313,8 @@ def train(texts: list[str], labels: np.ndarray, turns: int = 3, epochs: int = 6,
         net = {k: np.zeros_like(v) for k, v in fresh().items()}
         net["c"][:] = 10 * (2 * (float(labels.mean()) if len(labels) else 0.0) - 1)
         return Model([np.zeros(1 << WORD_BITS, np.float32)] * 2, [np.zeros(1 << CHAR_BITS, np.float32)] * len(PREFIXES), np.zeros(1 << CHAR_BITS, np.float32), net)
-    words = [cp.Words(t) for t in texts]
-    model = _fit(words, labels, turns, epochs, rate, seed)
+    keys = [Keys(cp.Words(t)) for t in texts]
+    model = _fit(keys, labels, turns, epochs, rate, seed)
     # two folds, each with its share of both kinds
     order = np.random.default_rng(seed + 1).permutation(len(labels))
     fold = np.zeros(len(labels), dtype=int)
@@ -322,9 +325,9 @@ def train(texts: list[str], labels: np.ndarray, turns: int = 3, epochs: int = 6,
         known = labels[fold != side]
         if len(known) == 0 or known.min() == known.max():
             return model  # too few labels to find a cut
-        other = _fit([w for w, k in zip(words, fold) if k != side], known, turns, epochs, rate, seed + 2)
-        for k in np.flatnonzero(fold == side):
-            logits[k] = _of_words(other, words[k]).max()
+        other = _fit([x for x, k in zip(keys, fold) if k != side], known, turns, epochs, rate, seed + 2)
+        own = np.flatnonzero(fold == side)
+        logits[own] = [x.max() for x in _of_many(other.net, (_item(other, keys[k]) for k in own))]
     model.net["c"] -= np.float32(cut(logits, labels) - np.log(THRESHOLD / (1 - THRESHOLD)))
     return model
 
@@ -357,30 +360,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_docs: int = 1000, clean_docs:
     return model
 
 
-def predict(model: Model, texts: list[str | None], block: int = 30_000) -> np.ndarray:
-    """Scores of texts; the windows of many texts go through the network together."""
-    out = np.zeros(len(texts))
-    k = 0
-    while k < len(texts):
-        xs, rows, spans, held, base = [], [], [], 0, 0
-        while k < len(texts) and held < block:
-            words = cp.Words(texts[k] or "")
-            n = len(words.hashes)
-            if n:
-                x, which = features(model, words)
-                at = windows(n)[:, None] + np.arange(WINDOW)
-                part = np.where(at < n, which[np.minimum(at, n - 1)] + base, -1)
-            else:
-                x, part = np.zeros((0, FEATURES), dtype=np.float32), np.full((1, WINDOW), -1)
-            xs.append(x)
-            rows.append(part)
-            spans.append(len(part))
-            base += len(x)
-            held += n
-            k += 1
-        logits = _logits(model, np.concatenate(xs), np.concatenate(rows))
-        out[k - len(spans) : k] = _sigmoid(np.maximum.reduceat(logits, np.cumsum(spans) - spans).astype(np.float64))
-    return out
+def predict(model: Model, texts: list[str | None]) -> np.ndarray:
+    """Scores of texts."""
+    items = (_item(model, Keys(cp.Words(x or ""))) for x in texts)
+    return _sigmoid(np.array([x.max() for x in _of_many(model.net, items)], dtype=np.float64))
 
 
 def toxicity(spark: SparkSession, model: Model, text: Column) -> Column:
