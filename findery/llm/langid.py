@@ -178,7 +178,7 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray,
         own = owner[at : at + block]
         edges = np.flatnonzero(np.diff(own, prepend=-1))
         for bucket in orders:
-            sums[own[edges]] += np.add.reduceat(model.table[bucket[at : at + block]], edges, axis=0, dtype=np.float64)
+            sums[own[edges]] += np.add.reduceat(np.take(model.table, bucket[at : at + block], axis=0), edges, axis=0, dtype=np.float64)
     y = sums + model.prior
     best = y.argmax(axis=1)
     posterior = 1 / np.exp(y - y.max(axis=1, keepdims=True)).sum(axis=1)
