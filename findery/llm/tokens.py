@@ -86,7 +86,7 @@ class _Index(dict):
 
 
 class Encoder:
-    def __init__(self, spec: str, max_words: int = 350_000, max_ids: int = 2_500_000):
+    def __init__(self, spec: str, max_words: int = 200_000, max_ids: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -164,7 +164,7 @@ class Encoder:
         if self.pieces.count > self.max_words or self.pieces.used > self.max_ids:
             self._clear_pieces()
 
-    def encode(self, texts, block: int = 4_000_000) -> list[np.ndarray]:
+    def encode(self, texts, block: int = 2_000_000) -> list[np.ndarray]:
         """Ids of each text (NULL: none).  ``texts``: strings or an Arrow array of them."""
         texts = texts if isinstance(texts, (pa.Array, pa.ChunkedArray)) else pa.array(texts, pa.string())
         if isinstance(texts, pa.ChunkedArray):
