@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from findery.llm.common import Scratch, table
 
 RANGE, FANOUT, PAGES = 65_536, 16, 512
-READ, MOST_HEAD, NEXT = 1 << 20, 1 << 20, b"\r\n\r\nWARC/"
+READ, PEEK, MOST_HEAD, NEXT = 1 << 20, 1024, 1 << 20, b"\r\n\r\nWARC/"
 LENGTH = re.compile(rb"(?i)\r\ncontent-length:[ \t]*(\d{1,18})[ \t]*\r\n")
 
 
@@ -60,31 +60,52 @@ def serialise(pages: DataFrame, *more: Column) -> DataFrame:
     return sized.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
+def next_member(held: bytes, end: bool) -> int:
+    """Where the first gzip member begins that holds a WARC record; -1 if none does, or (before the end) too little of it is there."""
+    at = -1
+    while (at := held.find(b"\x1f\x8b\x08", at + 1)) >= 0:
+        if not end and len(held) - at < PEEK:
+            return -1
+        try:
+            if zlib.decompressobj(31).decompress(held[at : at + PEEK], 5) == b"WARC/":
+                return at
+        except zlib.error:
+            pass
+    return -1
+
+
 def member_bounds(parts: Iterator[bytes]) -> Iterator[tuple[int, int, str]]:
     """(offset, length, SHA-256) of the members of a gzip stream, over the stored bytes.
 
-    From a damaged member on, the rest of the file is one record.
+    A damaged member reaches to the next one that holds a WARC record, or to the end of the file.
     """
-    at, size, sha, member, broken = 0, 0, hashlib.sha256(), zlib.decompressobj(31), False
-    for data in parts:
-        while data:
-            used = data
-            try:
-                todo = b"" if broken else data
-                while todo:  # what it holds is not kept
-                    member.decompress(todo, READ)
-                    todo = member.unconsumed_tail
-            except zlib.error:
-                broken = True
-            ended = not broken and member.eof
-            if ended:
-                used = data[: len(data) - len(member.unused_data)]
-            size += len(used)
-            sha.update(used)
-            data = data[len(used) :]
+    at, size, sha, member, held, broken = 0, 0, hashlib.sha256(), zlib.decompressobj(31), b"", False
+    for data in itertools.chain(parts, [None]):
+        held, end = held + (data or b""), data is None
+        while held:
+            ended = False
+            if broken:
+                found = next_member(held, end)
+                ended = found >= 0
+                used = found if ended else len(held) if end else max(0, len(held) - PEEK)
+            else:
+                try:
+                    todo = held
+                    while todo:  # what it holds is not kept
+                        member.decompress(todo, READ)
+                        todo = member.unconsumed_tail
+                    ended = member.eof
+                    used = len(held) - len(member.unused_data)
+                except zlib.error:
+                    broken, used = True, 1
+            size += used
+            sha.update(memoryview(held)[:used])
+            held = held[used:]
             if ended:
                 yield at, size, sha.hexdigest()
-                at, size, sha, member = at + size, 0, hashlib.sha256(), zlib.decompressobj(31)
+                at, size, sha, member, broken = at + size, 0, hashlib.sha256(), zlib.decompressobj(31), False
+            elif broken and used != 1:
+                break  # until there is more
     if size:
         yield at, size, sha.hexdigest()
 
