@@ -44,6 +44,9 @@ from findery.llm.common import Scratch, bounded_batches, slices, table
 from findery.llm.components import components
 
 
+SALTS = 32
+
+
 def choose_bands(threshold: float, recall: float = 0.9999, most_hashes: int = 128) -> tuple[int, int]:
     """(bands, rows): the most rows, hence the fewest false candidates, whose bands reach the recall within so many hashes."""
     for rows in range(most_hashes, 0, -1):
@@ -241,7 +244,9 @@ def near_classes(
         .select("node", "first_id", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     least = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    by_node = classes.join(least, "root").select("node", "class_id", "n_links")
+    # one class may hold very many nodes
+    salted = least.select("root", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    by_node = classes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("node", "class_id", "n_links")
     wordless = F.col("node").isNull()
     alone = signed.filter(wordless).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return signed.filter(~wordless).join(by_node, "node").select("doc_id", "class_id", "n_links").unionByName(alone)
