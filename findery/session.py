@@ -24,7 +24,18 @@ def local_session(name: str = "findery", cores: str = "*", partitions: int = 8,
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    found = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(found) if table in LONG_TEXTS else found
+
+
+#: Tables of which each row takes much work.
+LONG_TEXTS = ("documents", "pages")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table that comes in fewer parts than tasks can run at once is dealt to all of them; a large one, in many parts, is left alone."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
 
 
 def shared_folder(spark: SparkSession) -> str:
