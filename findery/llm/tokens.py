@@ -86,7 +86,7 @@ class _Index(dict):
 
 
 class Encoder:
-    def __init__(self, spec: str, max_words: int = 200_000, max_ids: int = 1_500_000):
+    def __init__(self, spec: str, max_words: int = 260_000, max_ids: int = 1_900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
