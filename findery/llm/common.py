@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -71,13 +72,14 @@ class Scratch:
         fs.delete(where, True)
 
 
-_SHARED: list = []
+_SHARED: list[weakref.ref] = []  # not held: what nothing uses any more, Spark cleans up itself
 
 
 def share(spark: SparkSession, value):
     """Broadcast a value of bounded size to the tasks."""
-    _SHARED.append(spark.sparkContext.broadcast(value))
-    return _SHARED[-1]
+    shared = spark.sparkContext.broadcast(value)
+    _SHARED.append(weakref.ref(shared))
+    return shared
 
 
 def shared_so_far() -> int:
@@ -87,7 +89,8 @@ def shared_so_far() -> int:
 def forget_shared(since: int) -> None:
     """Destroy what ``share`` has broadcast since there were so many; nothing that needs it may still have to run."""
     while len(_SHARED) > since:
-        _SHARED.pop().destroy()
+        if (shared := _SHARED.pop()()) is not None:
+            shared.destroy()
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
