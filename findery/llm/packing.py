@@ -197,12 +197,12 @@ def runs(made: list[tuple[int, dict[int, int]]], capacity: int) -> dict[str, np.
 # ---------------------------------------------------------------- the documents
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, cached_words: int) -> DataFrame:
     """Every document's pieces; ``ordinal`` numbers a task's (``chunk``'s) pieces of one length."""
     spec = share(docs.sparkSession, read_spec(tokenizer))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, chunk = encoder(spec.value), TaskContext.get().partitionId()
+        enc, chunk = encoder(spec.value, cached_words), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         end = np.array([end_id], dtype=np.uint32)
         names = ("doc_id", "piece", "start", "length", "ids_crc32", "chunk", "ordinal")
@@ -221,7 +221,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataF
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECE)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, scratch: Scratch | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, cached_words: int = 260_000, scratch: Scratch | None = None) -> DataFrame:
     """Every piece of every document with its sequence and offset.
 
     Rows with a NULL or repeated ``doc_id``, and repeated rows, are documents of their own and keep the
@@ -234,7 +234,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0,
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    cut = scratch.keep(pieces(docs, tokenizer, capacity, end_id), "pieces")
+    cut = scratch.keep(pieces(docs, tokenizer, capacity, end_id, cached_words), "pieces")
     by_chunk = cut.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     before = W.partitionBy("length").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
     by_chunk = scratch.keep(by_chunk.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "ranks")

@@ -204,12 +204,12 @@ class Encoder:
 _ENCODERS: dict[int, Encoder] = {}
 
 
-def encoder(spec: str) -> Encoder:
+def encoder(spec: str, cached_words: int = 260_000) -> Encoder:
     """This process's encoder for a tokenizer file's content; tasks of one worker share it."""
-    key = hash(spec)
+    key = hash((spec, cached_words))
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(spec)
+        _ENCODERS[key] = Encoder(spec, cached_words, 8 * cached_words)
     return _ENCODERS[key]
 
 
