@@ -105,6 +105,24 @@ def id_crc(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+#: Bits of a sieve, 64 a row: at most 524,288 rows are broadcast.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(df: DataFrame, keys: DataFrame, key: str, mark: str) -> DataFrame:
+    """``df`` with the boolean column ``mark``: true wherever the row's ``key`` is among those of ``keys``, and for few other rows.
+
+    So a join with ``keys``, which is still needed, can do without the rows that are not marked, and those need no shuffle.
+    Only bits for hashes are broadcast, however many keys there are; the more keys a bit, the more rows are marked in vain.
+    The column has the same type on both sides, and ``df`` no column named ``mark``.
+    """
+    at = F.pmod(F.xxhash64(key), F.lit(SIEVE_BITS))
+    word, bit = F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+    words = keys.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    joined = df.join(F.broadcast(words.select(F.struct("word", "bits").alias(mark))), word == F.col(mark)["word"], "left")
+    return joined.withColumn(mark, F.coalesce(F.getbit(F.col(mark)["bits"], bit) == 1, F.lit(False)))
+
+
 def sample_fraction(df: DataFrame, key: str, rows: int, at_most: int) -> DataFrame:
     """About ``at_most`` of the ``rows`` rows, the same ones on every run, chosen by a hash of ``key``."""
     if rows <= at_most:

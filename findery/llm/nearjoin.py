@@ -10,7 +10,8 @@ the number of other documents it is linked to, copies included.
    copies cost no more than a count.
 2. Bands and rows are chosen for the target recall at the threshold.  Band hashes
    are shuffled; only buckets with two nodes or more matter, and of buckets with
-   the same members one.
+   the same members one.  A sieve keeps nodes that are in none of these, and the texts of
+   documents that are not needed, out of the joins.
 3. A bucket's texts are compared within one task, on their full n-gram sets, by
    products of membership matrices.  A bucket with more than ``tile`` texts, or more than
    ``tile_words`` words, is dealt in
@@ -40,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findery.llm import codepoints as cp
-from findery.llm.common import Scratch, bounded_batches, slices, table
+from findery.llm.common import Scratch, bounded_batches, sieve, slices, table
 from findery.llm.components import components
 
 
@@ -219,12 +220,14 @@ def near_classes(
     buckets = in_bucket.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), *same).filter("n > 1")
     # buckets with the same members find the same links: the least stands for all
     buckets = scratch.keep(buckets.groupBy("n", "words", "x1", "x2").agg(F.min("bucket").alias("bucket")).select("bucket", "n", "words"), "buckets")
-    members = scratch.keep(in_bucket.drop("n_words").join(buckets, "bucket"), "members")
+    shared = sieve(in_bucket.drop("n_words"), buckets, "bucket", "shared").filter("shared").drop("shared")
+    members = scratch.keep(shared.join(buckets, "bucket"), "members")
     scratch.drop(buckets)
     of_node = members.groupBy("node").agg(F.collect_list("bucket").alias("buckets"))  # at most one for each band
-    found = nodes.select("node", "copies", "first_id").join(of_node, "node")
+    found = scratch.keep(nodes.select("node", "copies", "first_id").join(of_node, "node"), "found")
     # one row of the documents for each such node; its text once more
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(found.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    ids = found.select(F.col("first_id").alias("doc_id")).distinct()
+    texts = sieve(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id", "wanted").filter("wanted").drop("wanted").join(ids, "doc_id", "left_semi")
     texts = words_of(texts.filter(F.col("text").isNotNull())).dropDuplicates(["node"])
     full = found.select("node", "copies", "buckets").join(texts, "node")
     tiles = F.greatest(F.ceil(F.col("n") / F.lit(tile)), F.ceil(F.col("words") / F.lit(tile_words))).cast("int")
@@ -234,19 +237,23 @@ def near_classes(
     )
     work = pairs.select("node", "bucket", "p.*").join(full, "node")
     out = scratch.keep(work.groupBy("bucket", "i", "j").applyInPandas(_compare(threshold, width), "u binary, v binary, links long"), "links")
-    scratch.drop(members)
+    scratch.drop(members, found)
     links = out.filter(F.col("v").isNull()).groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     roots = components(out.filter(F.col("v").isNotNull()).select("u", "v"), scratch)
     classes = (
         nodes.select("node", "copies", "first_id")
         .join(links, "node", "left")
         .join(roots, "node", "left")
-        .select("node", "first_id", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .select("node", "first_id", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
-    least = classes.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    # one class may hold very many nodes
+    classes = scratch.keep(classes, "classes")
+    scratch.drop(nodes, out)
+    # a node without an edge is its own class; one class may hold very many nodes
+    edged = classes.filter(F.col("root").isNotNull())
+    least = edged.groupBy("root").agg(F.min("first_id").alias("class_id"))
     salted = least.select("root", "class_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    by_node = classes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("node", "class_id", "n_links")
+    by_node = edged.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(salted, ["root", "salt"]).select("node", "class_id", "n_links")
+    by_node = by_node.unionByName(classes.filter(F.col("root").isNull()).select("node", F.col("first_id").alias("class_id"), "n_links"))
     wordless = F.col("node").isNull()
     alone = signed.filter(wordless).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return signed.filter(~wordless).join(by_node, "node").select("doc_id", "class_id", "n_links").unionByName(alone)

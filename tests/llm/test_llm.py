@@ -143,6 +143,50 @@ def test_near_duplicates_go_by_row(spark, data):
     assert sorted(str((r["doc_id"], r["text"])) for r in got.collect()) == sorted(map(str, want))
 
 
+def test_near_duplicates_move_few_texts(spark, data, monkeypatch):
+    """Joins that shuffle shuffle the texts of documents in shared buckets only; what stays is as before, also where a sieve lets all through."""
+    import corpus_pipeline as pipeline
+    from findery.llm import common
+
+    rng = np.random.default_rng(4)
+    words = rng.integers(1 << 40, 1 << 60, (300, 400))
+    rows = [(i, " ".join(f"{x:x}" for x in w), "s") for i, w in enumerate(words.tolist())]
+    rows += [(1000 + i, rows[i][1], "t") for i in range(10)] + [(2000 + i, rows[i][1] + " more", "t") for i in range(10)]
+    want = [i for i, *_ in rows if i < 1000]
+    sc = spark.sparkContext._jsc.sc()
+
+    def moved():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        found = sc.statusStore().executorList(True)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.length()))
+
+    name, out = "spark.sql.autoBroadcastJoinThreshold", Scratch(spark)
+    old = spark.conf.get(name)
+    docs = out.keep(docs_of(spark, rows), "docs")
+    spark.conf.set(name, "-1")  # as with large tables
+    try:
+        before = moved()
+        got = out.keep(pipeline.near_duplicates(spark, docs, data), "got")
+        assert moved() - before < 0.5 * sum(len(t) for _, t, _ in rows)
+        monkeypatch.setattr(common, "SIEVE_BITS", 8)
+        again = out.keep(pipeline.near_duplicates(spark, docs, data), "again")
+    finally:
+        spark.conf.set(name, old)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(r["doc_id"] for r in again.collect()) == want
+
+
+def test_sieve(spark):
+    from findery.llm.common import sieve
+
+    df = spark.range(20_000).selectExpr("if(id = 5, null, id) AS k", "id AS word", "id AS bits")
+    keys = spark.range(0, 20_000, 100).selectExpr("id AS k")
+    got = sieve(df, keys, "k", "in")
+    assert got.columns == [*df.columns, "in"] and got.count() == 20_000
+    assert got.filter("k % 100 = 0 AND NOT in").count() == 0 and got.filter("in").count() < 250
+    assert sieve(df, keys.limit(0), "k", "in").filter("in").count() == 0
+    assert sieve(df, keys.unionByName(keys.selectExpr("CAST(NULL AS long) AS k")), "k", "in").filter("k IS NULL").first()["in"]
+
+
 def test_bands_reach_the_recall():
     bands, rows = nearjoin.choose_bands(0.8)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999 and bands * rows <= 128
