@@ -27,6 +27,12 @@ def mean_pool(tokens: DataFrame, key: str) -> DataFrame:
     return by_dim.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("pooled"))
 
 
+def rounded(x: Column, decimals: int) -> Column:
+    """Rounded half away from zero; what is below zero stays so, as -0.0, which Spark's round loses."""
+    near = F.round(x, decimals)
+    return F.when((near == 0) & (x < 0), F.lit(-0.0)).otherwise(near)
+
+
 def softmax(logits: Column) -> Column:
     """Shifted by the largest, so that no exponent overflows."""
     top = F.array_max(logits)

@@ -1,5 +1,7 @@
 """The engine against hand-computed values, and every query against its SQL."""
 
+import contextlib
+import dataclasses
 import http.server
 import math
 import threading
@@ -11,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from findery.config import DEFAULTS
 from findery.functions import hashing, html, stem, text, urls, vectors
 from findery.functions.models import encode, hashing_encoder
 from findery.operators import dedup, frontier, graph, index, indexing, search, store
@@ -353,3 +356,12 @@ def test_robots_and_models(spark):
     held = spark.createDataFrame([(1, [1.0])], "doc_id int, embedding array<float>")
     filled = search.fill_embeddings(docs, held, F.col("text"), lambda t: encode(hashing_encoder(4), t))
     assert {r["doc_id"]: len(r["embedding"]) for r in filled.collect()} == {1: 1, 2: 4}
+
+
+def test_mean_pool_below_zero(spark, duck, tmp_path):
+    """A mean that rounds to zero from below is -0.000000 in the SQL."""
+    rows = [(1, 7, [-3e-7] * 64), (2, 7, [-3e-7] * 64), (3, 8, [3e-7] * 63 + [-0.25])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r["label"]: r["pooled"] for r in registry.mean_pool(spark, str(tmp_path)).collect()}
+    sql = registry.ORACLE_SQL["mean_pool"].replace("FROM embeddings", f"FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert got == dict(duck.sql(sql).fetchall()) and got[7].startswith("-0.000000 ")
