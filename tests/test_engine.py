@@ -415,3 +415,8 @@ def test_repeated_ids_are_summed_up(spark, data, duck, tmp_path):
     spark.read.parquet(f"{data}/benchmark.parquet").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
     sql = registry.ORACLE_SQL["tfidf_prefilter"].replace("FROM documents)", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet'))")
     assert rows(registry.tfidf_prefilter(spark, str(tmp_path))) == sorted((str(r[1]), str(r[0]), str(r[3]), str(r[2])) for r in duck.sql(sql).fetchall())
+
+
+def test_term_lists_are_made_without_a_shuffle(spark, data):
+    plan = plan_of(registry.doc_term_map(spark, data))
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan
