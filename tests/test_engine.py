@@ -420,3 +420,9 @@ def test_repeated_ids_are_summed_up(spark, data, duck, tmp_path):
 def test_term_lists_are_made_without_a_shuffle(spark, data):
     plan = plan_of(registry.doc_term_map(spark, data))
     assert "MapInArrow" in plan and "hashpartitioning" not in plan
+
+
+def test_prefilter_by_document(spark):
+    docs, asked = random_index(spark)
+    found = index.best_cheap(asked, index.stored_by_document(docs), 7)
+    assert rows(found) == rows(index.prefilter(index.matches(asked, index.postings(docs), index.lengths(docs)), 7))
