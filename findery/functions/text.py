@@ -18,6 +18,7 @@ then there these they this those through to too under until up very was we were
 you your yours""".split()
 
 TOKEN = r"([\p{L}\p{N}]+)"
+ALPHABETIC = r"(?<![\p{L}\p{N}])(\p{L}++)(?!\p{N})"  # tokens that have letters only
 #: For texts of the web: addresses, handles and tags, emoticons, and words with their apostrophes and hyphens stay whole.
 WEB_TOKEN = (
     r"(https?://[^\s<>\"]+|[\w.+-]+@[\w-]+(?:\.[\w-]+)+|[@#][\p{L}\p{N}_]+|[<>]?[:;=8][\-o*']?[)\](\[dp/:}{@|]|<3"
@@ -56,12 +57,15 @@ def preprocess(text: Column, stopwords: Sequence[str] = STOPWORDS, lemmas: Colum
 
 
 def words_share(docs: DataFrame, vocabulary: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_words, share): the share of a text's alphabetic tokens that are in ``vocabulary`` (column ``word``)."""
-    word = F.explode(F.filter(F.transform(tokens(F.col("text")), umlaut_fold), lambda t: t.rlike(r"^\p{L}+$"))).alias("word")
+    """(key, n_words, share): the share of a text's alphabetic tokens that are in ``vocabulary`` (column ``word``).
+
+    The vocabulary is sent to all tasks, and only each task's counts by text are shuffled.
+    """
+    words = F.regexp_extract_all(umlaut_fold(F.lower(F.col("text"))), F.lit(ALPHABETIC), F.lit(1))
     known = vocabulary.select("word", F.lit(1).alias("known")).distinct()
-    by_word = docs.select(key, word).groupBy(key, "word").agg(F.count("*").alias("n"))
-    found = by_word.join(known, "word", "left").groupBy(key).agg(F.sum("n").alias("n_words"), F.sum(F.coalesce("known", F.lit(0)) * F.col("n")).alias("n_known"))
-    every = docs.select(key).join(found, key, "left")
+    found = docs.select(key, F.explode(words).alias("word")).join(F.broadcast(known), "word", "left")
+    counts = found.groupBy(key).agg(F.count("*").alias("n_words"), F.count("known").alias("n_known"))
+    every = docs.select(key).join(counts, key, "left")
     return every.select(key, F.coalesce("n_words", F.lit(0)).alias("n_words"), F.coalesce(F.col("n_known") / F.col("n_words"), F.lit(0.0)).alias("share"))
 
 

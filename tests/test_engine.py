@@ -426,3 +426,12 @@ def test_prefilter_by_document(spark):
     docs, asked = random_index(spark)
     found = index.best_cheap(asked, index.stored_by_document(docs), 7)
     assert rows(found) == rows(index.prefilter(index.matches(asked, index.postings(docs), index.lengths(docs)), 7))
+
+
+def test_words_share_shuffles_counts_only(spark):
+    texts = ["ÄB über x1y 12 a1 1a ß", "", None, "the The THE b2 ñandú", "a\u0308b the-über's"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = text.words_share(docs, spark.createDataFrame([("the",), ("ueber",), ("ss",)], "word string"))
+    got = {r["doc_id"]: (r["n_words"], round(r["share"], 6)) for r in found.collect()}
+    assert got == {0: (3, round(2 / 3, 6)), 1: (0, 0), 2: (0, 0), 3: (4, 0.75), 4: (5, 0.4)}
+    assert "hashpartitioning(doc_id" in (plan := plan_of(found)) and "word#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(doc_id" in x)
