@@ -13,6 +13,8 @@ from findery.functions import text as T
 from findery.operators import dedup, index
 from findery.session import snapshot
 
+MOST_IDS = 1 << 20  # English documents whose ids are sent to all tasks, so that texts aren't shuffled
+
 
 @dataclass
 class Indexed:
@@ -28,8 +30,10 @@ def relevant(documents: DataFrame, vocabulary: DataFrame, settings: Settings = D
     """
     counted = documents.select("doc_id", F.col("input" if "input" in documents.columns else "text").alias("text"))
     english = T.words_share(counted, vocabulary).filter((F.col("share") >= settings.english_share) & (F.col("n_words") > 0)).select("doc_id")
-    topical = documents.filter((F.size("tokens") > 0) & T.on_topic(F.col("tokens"), settings.any_topic, settings.all_topics))
-    return topical.join(english, "doc_id", "left_semi")
+    on_topic = lambda t: (F.size(t) > 0) & T.on_topic(t, settings.any_topic, settings.all_topics)
+    topical = documents.filter(F.exists(F.array("tokens"), on_topic))  # so that tokens are made once for the whole condition
+    english = snapshot(english, "english")
+    return topical.join(F.broadcast(english) if english.count() <= MOST_IDS else english, "doc_id", "left_semi")
 
 
 def index_documents(documents: DataFrame, vocabulary: DataFrame, settings: Settings = DEFAULTS) -> Indexed:

@@ -394,6 +394,12 @@ def test_ranking_by_document_shuffles_only_each_tasks_best(spark, monkeypatch):
     assert not index.has_repeats(held) and index.has_repeats(held.unionByName(held))
 
 
+def test_prefilter_by_document(spark):
+    docs, asked = random_index(spark)
+    found = index.best_cheap(asked, index.stored_by_document(docs), 7)
+    assert rows(found) == rows(index.prefilter(index.matches(asked, index.postings(docs), index.lengths(docs)), 7))
+
+
 def test_tasks_keep_their_best_in_bounded_slices(spark, monkeypatch):
     """As in a task, with slices of a few documents: the same best as in one slice."""
     docs, asked = random_index(spark)
@@ -408,6 +414,11 @@ def test_tasks_keep_their_best_in_bounded_slices(spark, monkeypatch):
     assert [b.to_pylist() for b in index._rank_task(shared[0], 5, 1.5, 0.75)(iter(held))] == whole and len(whole[0]) == 45
 
 
+def test_term_lists_are_made_without_a_shuffle(spark, data):
+    plan = plan_of(registry.doc_term_map(spark, data))
+    assert "MapInArrow" in plan and "hashpartitioning" not in plan
+
+
 def test_repeated_ids_are_summed_up(spark, data, duck, tmp_path):
     """Documents whose ids come twice are one in the SQL's postings."""
     twice = spark.read.parquet(f"{data}/documents.parquet")
@@ -417,17 +428,6 @@ def test_repeated_ids_are_summed_up(spark, data, duck, tmp_path):
     assert rows(registry.tfidf_prefilter(spark, str(tmp_path))) == sorted((str(r[1]), str(r[0]), str(r[3]), str(r[2])) for r in duck.sql(sql).fetchall())
 
 
-def test_term_lists_are_made_without_a_shuffle(spark, data):
-    plan = plan_of(registry.doc_term_map(spark, data))
-    assert "MapInArrow" in plan and "hashpartitioning" not in plan
-
-
-def test_prefilter_by_document(spark):
-    docs, asked = random_index(spark)
-    found = index.best_cheap(asked, index.stored_by_document(docs), 7)
-    assert rows(found) == rows(index.prefilter(index.matches(asked, index.postings(docs), index.lengths(docs)), 7))
-
-
 def test_words_share_shuffles_counts_only(spark):
     texts = ["ÄB über x1y 12 a1 1a ß", "", None, "the The THE b2 ñandú", "a\u0308b the-über's"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -435,3 +435,10 @@ def test_words_share_shuffles_counts_only(spark):
     got = {r["doc_id"]: (r["n_words"], round(r["share"], 6)) for r in found.collect()}
     assert got == {0: (3, round(2 / 3, 6)), 1: (0, 0), 2: (0, 0), 3: (4, 0.75), 4: (5, 0.4)}
     assert "hashpartitioning(doc_id" in (plan := plan_of(found)) and "word#" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(doc_id" in x)
+
+
+def test_texts_are_not_shuffled_for_relevance(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", text.tokens(F.col("text")).alias("tokens"))
+    words = spark.read.parquet(f"{data}/benchmark.parquet").select(F.explode(text.tokens(F.col("text"))).alias("word"))
+    found = indexing.relevant(docs, words, dataclasses.replace(DEFAULTS, any_topic=("thing",), all_topics=("the", "and", "of")))
+    assert found.count() and "BroadcastHashJoin" in (plan := plan_of(found)) and "hashpartitioning" not in plan
