@@ -442,3 +442,22 @@ def test_texts_are_not_shuffled_for_relevance(spark, data):
     words = spark.read.parquet(f"{data}/benchmark.parquet").select(F.explode(text.tokens(F.col("text"))).alias("word"))
     found = indexing.relevant(docs, words, dataclasses.replace(DEFAULTS, any_topic=("thing",), all_topics=("the", "and", "of")))
     assert found.count() and "BroadcastHashJoin" in (plan := plan_of(found)) and "hashpartitioning" not in plan
+
+
+def test_pagerank_rounds_join_lists(spark, monkeypatch):
+    """A source's targets come in lists; a source with many has several, and ranks stay the same."""
+    edges = [(0, k) for k in range(1, 40)] + [(k, (k * 7) % 40) for k in range(1, 40)]
+    links = spark.createDataFrame(edges, "src long, dst long").distinct()
+    nodes = spark.createDataFrame([(k,) for k in range(40)], "node long")
+    want = {r["node"]: round(r["rank"], 12) for r in graph.pagerank(links, nodes).collect()}
+    monkeypatch.setattr(graph, "LIST", 5)
+    lists = graph.link_lists(links)
+    assert lists.filter("src = 0").count() > 1 and lists.agg(F.sum(F.size("dsts"))).first()[0] == links.count()
+    assert {r["node"]: round(r["rank"], 12) for r in graph.pagerank(links, nodes).collect()} == want
+    rank, out = {k: 1 / 40 for k in range(40)}, {s: sum(a == s for a, _ in set(edges)) for s, _ in edges}
+    for _ in range(10):
+        given = dict.fromkeys(rank, 0.0)
+        for s, d in set(edges):
+            given[d] += rank[s] / out[s]
+        rank = {k: 0.15 / 40 + 0.85 * given[k] for k in rank}
+    assert all(math.isclose(want[k], rank[k], abs_tol=1e-11) for k in rank)
